@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,20 @@ def scratch_table(spark: SparkSession, name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillspan_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="quillspan-ship-"), "quillspan.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    p = os.path.join(folder, name)
+                    z.write(p, os.path.relpath(p, os.path.dirname(root)))
+    sc.addPyFile(target)
+    sc._quillspan_shipped = True
