@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import setjoin, splitting
+from quillspan.llm import history, setjoin, splitting, threads
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,9 @@ def queries() -> dict[str, Query]:
         "p2_chunks": _p2_chunks,
         "p3_found": lambda spark, d: setjoin.note_pairs(read(spark, d, "vault_notes")),
         "p3_links": lambda spark, d: setjoin.note_links(read(spark, d, "vault_notes")),
+        "p4_found": lambda spark, d: history.repeated_files(read(spark, d, "input_files"), read(spark, d, "manifest")),
+        "p5_found": lambda spark, d: threads.conversations(read(spark, d, "chat_sessions"), read(spark, d, "messages")).drop("role"),
+        "p5_verdicts": lambda spark, d: threads.verdicts(read(spark, d, "chat_sessions"), read(spark, d, "messages")),
     }
 
 
@@ -59,5 +62,47 @@ SELECT field_name, note_a, note_b FROM pairs WHERE k * 10 >= 6 * (na + nb - k)
 """
 
 
+_P5 = r"""
+WITH RECURSIVE
+r AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chat_id, node_id ORDER BY coalesce(ingested_at, TIMESTAMPTZ '0001-01-01') DESC) AS rn FROM messages)
+  WHERE rn = 1),
+s AS (
+  SELECT chat_id, current_node FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY coalesce(updated_at, TIMESTAMPTZ '0001-01-01') DESC) AS rn FROM chat_sessions)
+  WHERE rn = 1),
+up AS (SELECT s.chat_id, s.current_node AS node FROM s JOIN r ON r.chat_id = s.chat_id AND r.node_id = s.current_node),
+roots AS (
+  SELECT chat_id, min(node_id) AS node FROM r WHERE coalesce(parent, '') = '' GROUP BY chat_id HAVING count(*) = 1),
+starts AS (
+  SELECT chat_id, node, true AS is_up FROM up
+  UNION ALL
+  SELECT chat_id, node, false FROM roots WHERE chat_id IN (SELECT chat_id FROM s) AND chat_id NOT IN (SELECT chat_id FROM up)),
+links AS (
+  SELECT r.chat_id, r.node_id, st.is_up,
+    CASE WHEN st.is_up THEN nullif(r.parent, '') WHEN len(r.children) > 0 THEN coalesce(r.children[-1], '') END AS nxt
+  FROM r JOIN starts st USING (chat_id)),
+walk AS (
+  SELECT chat_id, node, 0 AS pos, [node] AS seen, false AS bad FROM starts
+  UNION ALL
+  SELECT w.chat_id, l.nxt, w.pos + 1, list_append(w.seen, l.nxt),
+    list_contains(w.seen, l.nxt) OR NOT EXISTS (SELECT 1 FROM r WHERE r.chat_id = w.chat_id AND r.node_id = l.nxt)
+  FROM walk w JOIN links l ON l.chat_id = w.chat_id AND l.node_id = w.node
+  WHERE NOT w.bad AND l.nxt IS NOT NULL),
+whole AS (SELECT * FROM walk WHERE chat_id NOT IN (SELECT chat_id FROM walk WHERE bad)),
+turns AS (
+  SELECT w.chat_id, w.node, CASE WHEN lower(trim(r.role)) IN ('user', 'human') THEN 'h' ELSE 'a' END AS who,
+    row_number() OVER (PARTITION BY w.chat_id ORDER BY CASE WHEN st.is_up THEN -w.pos ELSE w.pos END) AS turn_pos
+  FROM whole w JOIN starts st ON st.chat_id = w.chat_id JOIN r ON r.chat_id = w.chat_id AND r.node_id = w.node
+  WHERE lower(trim(r.role)) IN ('user', 'human', 'assistant', 'ai') AND coalesce(r.is_hidden, false) = false
+    AND r.content_type IN ('text', 'multimodal_text', 'code') AND regexp_matches(r.content, '\S')),
+judged AS (
+  SELECT *, lead(who) OVER (PARTITION BY chat_id ORDER BY turn_pos) AS then_who FROM turns),
+kept AS (
+  SELECT chat_id FROM judged GROUP BY chat_id
+  HAVING count(*) FILTER (who = 'h') > 0 AND count(*) FILTER (who = 'h' AND then_who IS DISTINCT FROM 'a') = 0)
+SELECT chat_id, CAST(turn_pos AS INTEGER) AS turn_pos, node AS node_id FROM turns WHERE chat_id IN (SELECT chat_id FROM kept)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3}
+    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5.replace("\\\\S", "\\S")}
