@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import history, setjoin, splitting, threads
+from quillspan.llm import history, leaks, mixing, setjoin, splitting, threads
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def _p2_chunks(spark, d):
     return splitting.plan_chunks(splitting.latest_turns(read(spark, d, "turns"), splitting.MAX_CHARS)).drop("turns")
 
 
+def _leaks(spark, d):
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+
+
+def _mixture(spark, d):
+    return mixing.Mixture(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p2_found": lambda spark, d: splitting.oversized(read(spark, d, "turns")),
@@ -30,6 +38,11 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda spark, d: history.repeated_files(read(spark, d, "input_files"), read(spark, d, "manifest")),
         "p5_found": lambda spark, d: threads.conversations(read(spark, d, "chat_sessions"), read(spark, d, "messages")).drop("role"),
         "p5_verdicts": lambda spark, d: threads.verdicts(read(spark, d, "chat_sessions"), read(spark, d, "messages")),
+        "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
+        "p7_report": _leaks,
+        "p8_found": lambda spark, d: _mixture(spark, d).report().where("short").select("source"),
+        "p8_report": lambda spark, d: _mixture(spark, d).report(),
+        "p8_rates": lambda spark, d: _mixture(spark, d).rates(),
     }
 
 
@@ -104,5 +117,14 @@ SELECT chat_id, CAST(turn_pos AS INTEGER) AS turn_pos, node AS node_id FROM turn
 """
 
 
+_P7 = r"""
+WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+eg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
+SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5.replace("\\\\S", "\\S")}
+    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7}
