@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import history, leaks, mixing, setjoin, splitting, threads
+from quillspan.llm import history, language, leaks, mixing, setjoin, splitting, threads
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,8 @@ def queries() -> dict[str, Query]:
         "p8_found": lambda spark, d: _mixture(spark, d).report().where("short").select("source"),
         "p8_report": lambda spark, d: _mixture(spark, d).report(),
         "p8_rates": lambda spark, d: _mixture(spark, d).rates(),
+        "p9_found": lambda spark, d: language.unlabelled_or_mixed(read(spark, d, "documents")),
+        "p9_segments": lambda spark, d: language.segments(read(spark, d, "documents")).distinct(),
     }
 
 
@@ -120,8 +122,8 @@ SELECT chat_id, CAST(turn_pos AS INTEGER) AS turn_pos, node AS node_id FROM turn
 _P7 = r"""
 WITH d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
 e AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
-dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
-eg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), i -> array_to_string(w[i:i + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
+dg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+eg AS (SELECT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM e WHERE len(w) >= 12)
 SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g)
 """
 
