@@ -44,7 +44,7 @@ MAX_WORD, KEEP_WORDS = 40, 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?…。！？]+[\"'”’»)\]*_]*(?=\s|$)|\n\s*\n")
 _NOISE = re.compile(
-    r"(?:```|~~~)\w*[ \t]*\n(?:.*?\n[ \t>|]*(?:```|~~~)|.*?(?=\n\s*\n|\Z))"  # fenced code; unclosed: to a blank line
+    r"(?:```|~~~)\w*[ \t]*\n(?:.*?\n[ \t>|*_-]*(?:```|~~~)|.*?(?=\n\s*\n|\Z))"  # fenced code; unclosed: to a blank line
     r"|\A\s*---[ \t]*\n.*?^---[ \t]*$"  # leading metadata block
     r"|^[ \t>|*_-]*(?:from|sent|to|cc|bcc|date|subject|reply-to|title|tags|von|gesendet|an|betreff|de|para|assunto|asunto|objet|à|van|aan|onderwerp|от|кому|тема)[*_]{0,2}:[*_]{0,2} [^\n]*$"
     r"|^[ \t#>*_-]*(?:human|assistant|user|you|copilot|ai|bot|system)(?: said)?[*_]{0,2}[ \t]*:?[*_]{0,2}:?[ \t]*(?=$|(?<=:)\s|(?<=\*)\s)"
