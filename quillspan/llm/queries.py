@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import history, language, leaks, mixing, setjoin, splitting, threads
+from quillspan.llm import history, language, leaks, mail, mixing, setjoin, splitting, threads
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,8 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda spark, d: history.repeated_files(read(spark, d, "input_files"), read(spark, d, "manifest")),
         "p5_found": lambda spark, d: threads.conversations(read(spark, d, "chat_sessions"), read(spark, d, "messages")).drop("role"),
         "p5_verdicts": lambda spark, d: threads.verdicts(read(spark, d, "chat_sessions"), read(spark, d, "messages")),
+        "p6_found": lambda spark, d: mail.new_lines(read(spark, d, "turns")),
+        "p6_texts": lambda spark, d: mail.new_texts(read(spark, d, "turns")),
         "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
         "p7_report": _leaks,
         "p8_found": lambda spark, d: _mixture(spark, d).report().where("short").select("source"),
