@@ -193,14 +193,16 @@ def held_quotes(df: DataFrame) -> DataFrame:
     lines = asked.groupBy("conv_id", "line", "word").agg(F.max(F.struct("turn", "seg")).alias("last"))
     held = base.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").mapInPandas(corpus, f"conv_id {conv}, turn int, seg int, norm string")
     ordered = rank_in_groups(held.withColumn("at", F.col("turn").cast("bigint") * 100_000 + F.col("seg")), ["conv_id"], "at", "pos")
-    follow = ordered.select("conv_id", (F.col("pos") - 1).alias("pos"), F.col("norm").alias("after"))
-    ordered = ordered.join(follow, ["conv_id", "pos"], "left")
-    edge = F.concat(F.substring("norm", -400, 400), F.lit(" "), F.coalesce(F.substring("after", 1, 400), F.lit("")))
-    nxt = F.struct(F.col("turn"), F.col("seg")).alias("at2")
-    words = F.array_distinct(F.regexp_extract_all(F.concat("norm", F.lit(" "), F.coalesce(F.substring("after", 1, 400), F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)))
-    text = ordered.select("conv_id", nxt, "norm", edge.alias("edge"), F.explode(F.array_append(words, F.lit(""))).alias("word"))
+    ordered = ordered.withColumn("at2", F.struct("turn", "seg"))
+    # a line over a border is held once both neighbours are, so the later one dates it
+    head = ordered.select("conv_id", F.col("pos"), "at2", F.substring("norm", 1, 400).alias("head"))
+    tail = ordered.select("conv_id", (F.col("pos") + 1).alias("pos"), F.substring("norm", -400, 400).alias("tail"))
+    border = head.join(tail, ["conv_id", "pos"]).select("conv_id", "at2", F.concat("tail", F.lit(" "), "head").alias("norm"))
+    pieces = ordered.select("conv_id", "at2", "norm").unionByName(border)
+    words = F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)))
+    text = pieces.select("conv_id", "at2", "norm", F.explode(F.array_append(words, F.lit(""))).alias("word"))
     found = (
-        lines.join(text, ["conv_id", "word"]).where((F.col("at2") < F.col("last")) & (F.col("norm").contains(F.col("line")) | F.col("edge").contains(F.col("line"))))
+        lines.join(text, ["conv_id", "word"]).where((F.col("at2") < F.col("last")) & F.col("norm").contains(F.col("line")))
         .groupBy("conv_id", "line").agg(F.min("at2").alias("first"))
     )
     judged = asked.join(found, ["conv_id", "line"], "left").withColumn("hit", F.coalesce(F.col("first") < F.struct("turn", "seg"), F.lit(False)).cast("int"))

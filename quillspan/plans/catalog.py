@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.operators.nested import flatten_exports, piece_keys
-from quillspan.plans import queries_text
+from quillspan.plans import queries_notes, queries_text
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +28,8 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda spark, d: piece_keys(read(spark, d, "raw_exports")),
         "p1_conversations": _p1_conversations,
         "p1_messages": _p1_messages,
-    } | queries_text.queries()
+    } | queries_text.queries() | queries_notes.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_text.oracle_sql()
+    return queries_text.oracle_sql() | queries_notes.oracle_sql()
