@@ -7,13 +7,15 @@ neither a group nor a bucket has to fit into one task; only verified pairs leave
 
 from __future__ import annotations
 
-import difflib
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.bounds import Matcher, letter_counts
+
 BLOCK = 256
 
 
@@ -51,29 +53,42 @@ def similar_pairs(items: DataFrame, group: str, threshold: float, gate: float |
     down = tasks(F.coalesce("parts_below", F.lit(0)), lambda k: key(F.col("bucket") - 1, k, p, False))
     met = sized.withColumn("p", p).withColumn("task", F.explode(F.concat(own, up, down))).select("g", "item", "text", "bucket", "p", "task")
 
-    def compare(key_, pdf):
-        low, a, b, same = key_[1]["low"], key_[1]["a"], key_[1]["b"], key_[1]["same"]
-        rows = sorted(zip(pdf["item"].tolist(), pdf.text.tolist(), pdf.bucket.tolist(), pdf.p.tolist()))
-        out = []
-        matcher = difflib.SequenceMatcher(None)
-        for i, (early, text, bucket, part) in enumerate(rows):
-            matcher.set_seq2(text)
-            for late, other, bucket2, part2 in rows[i + 1 :]:
-                if same:
-                    if a != b and part == part2:
-                        continue
-                elif bucket == bucket2:
-                    continue
-                x, y = len(other), len(text)
-                if gate is not None and abs(x - y) > gate * max(x, y):
-                    continue
-                if x + y and 2.0 * min(x, y) / (x + y) < threshold:
-                    continue
-                matcher.set_seq1(other)
-                if matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
-                    out.append((pdf.g.iloc[0], late, early))
-        return pd.DataFrame(out, columns=["g", "item", "earlier"])
+    def compare(g, low, a, b, same, rows):
+        """The pairs of one task; ``rows`` are (item, text, bucket, part) by item."""
+        size = np.array([len(r[1]) for r in rows])
+        side = np.array([r[3] if same else r[2] for r in rows])
+        letters = letter_counts([r[1] for r in rows])
+        matcher = Matcher(threshold)
+        for i, (early, text, _, _) in enumerate(rows[:-1]):
+            other = size[i + 1 :]
+            may = 2.0 * np.minimum(letters[i], letters[i + 1 :]).sum(axis=1) >= threshold * (other + size[i])
+            if gate is not None:
+                may &= np.abs(other - size[i]) <= gate * np.maximum(other, size[i])
+            if not same or a != b:  # the two blocks against each other only
+                may &= side[i + 1 :] != side[i]
+            near = np.nonzero(may)[0]
+            if len(near):
+                matcher.set(text)
+                for k in near.tolist():
+                    if matcher.ratio(rows[i + 1 + k][1]) is not None:
+                        yield g, rows[i + 1 + k][0], early
+
+    def go(batches):
+        """Tasks lie one after the other in a partition; only the rows of one are held."""
+        key, rows = None, []
+        for pdf in batches:
+            out = []
+            for g, low, a, b, same, item, text, bucket, part in pdf.itertuples(index=False, name=None):
+                if (g, low, a, b, same) != key:
+                    if len(rows) > 1:
+                        out += compare(*key, rows)
+                    key, rows = (g, low, a, b, same), []
+                rows.append((item, text, bucket, part))
+            yield pd.DataFrame(out, columns=["g", "item", "earlier"])
+        yield pd.DataFrame(list(compare(*key, rows)) if len(rows) > 1 else [], columns=["g", "item", "earlier"])
 
     kind = dict(items.dtypes)[group]
-    found = met.groupBy("g", "task").applyInPandas(compare, f"g {kind}, item bigint, earlier bigint")
+    order = ["g", "low", "a", "b", "same"]
+    laid = met.select("g", "task.*", "item", "text", "bucket", "p").repartition(*order).sortWithinPartitions(*order, "item")
+    found = laid.mapInPandas(go, f"g {kind}, item bigint, earlier bigint")
     return found.withColumnRenamed("g", group).distinct()
