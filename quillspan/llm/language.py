@@ -60,7 +60,7 @@ def tokens(text: str) -> list[str]:
 
 def label_language(c) -> F.Column:
     """The language that a label names, NULL if none of LANGS."""
-    plain = F.regexp_extract(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"(?U)^(\w+)", 1)
+    plain = F.regexp_extract(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), r"^([\p{L}\p{N}]+)", 1)
     table = F.create_map(*[x for k, names in ALIASES.items() for n in names for x in (F.lit(n), F.lit(k))])
     return table[plain]
 

@@ -31,6 +31,8 @@ MIN_SENTENCE = 24
 COVERED = 0.8
 #: Characters in a row that must be covered before text without any mark of a quote counts as earlier text.
 MIN_STRETCH = 150
+#: A quoted line without a sentence end may go on in the next line, unmarked, if it is at least this long.
+MIN_WRAPPED = 35
 
 _PREFIX = re.compile(r"^[ \t]*(?:[>|][ \t]?)+")
 _UNENDED = re.compile(r"[^\s.!?…:;)>|\"'”»][ \t]*$")
@@ -251,7 +253,7 @@ def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[
             break
         if i and _PREFIX.match(lines[i - 1]) and _is_intro(_PREFIX.sub("", lines[i - 1]).strip() + " " + lines[i].strip()):
             old[i] = True  # an introduction inside the quote, wrapped without its prefix
-        elif i and old[i - 1] and _PREFIX.match(lines[i - 1]) and _UNENDED.search(lines[i - 1]) and (not known or lines[i].lstrip()[:1].islower()):
+        elif i and old[i - 1] and _PREFIX.match(lines[i - 1]) and _UNENDED.search(lines[i - 1]) and (lines[i].lstrip()[:1].islower() or (not known and len(lines[i - 1]) >= MIN_WRAPPED)):
             old[i] = True  # the rest of a quoted line that was wrapped without its prefix
         i += 1
     old[end:] = True

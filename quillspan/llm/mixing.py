@@ -56,7 +56,7 @@ def labelled(documents: DataFrame, sources: list[str]) -> DataFrame:
     """(doc_id, label, text) of the documents of wanted sources; ``label`` is the place in ``sources``."""
     at = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s.strip().lower()), F.lit(i))]) if sources else F.lit(None)
     label = at[F.lower(F.trim(F.regexp_replace("source", r"(?U)^\s+|\s+$", "")))] if sources else F.lit(None).cast("int")
-    return documents.select("doc_id", label.alias("label"), "text").where("label IS NOT NULL")
+    return documents.where("doc_id IS NOT NULL").select("doc_id", label.alias("label"), "text").where("label IS NOT NULL")
 
 
 def train(docs: DataFrame, k: int, path: str, rows: int = TRAIN_ROWS) -> np.ndarray:

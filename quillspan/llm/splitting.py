@@ -29,8 +29,8 @@ BLOCK_TURNS = 4096
 PARAGRAPH, LINE, SENTENCE, WORD, NONE = 0.0, 0.05, 0.1, 0.4, 5.0
 #: Weight of the squared relative deviation from the even size.
 BALANCE = 2.0
-#: Longest stretch between two candidate cuts before finer boundaries are added inside it.
-COARSE_GAP, FINE_GAP = 400, 100
+#: Parts of the room of a piece: a longer stretch between two candidate cuts gets finer boundaries inside.
+STRETCHES = 8
 
 _LEVELS = (
     (re.compile(r"\n[ \t\r]*\n\s*"), PARAGRAPH),
@@ -40,16 +40,16 @@ _LEVELS = (
 _WORD = re.compile(r"\s+")
 
 
-def _candidates(text: str) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(text: str, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions in rising order with their penalties; the text's end is the last, at no penalty."""
-    n, best = len(text), {}
+    n, best, gap = len(text), {}, max(1, room // STRETCHES)
     for pattern, penalty in _LEVELS:
         for m in pattern.finditer(text):
             if 0 < m.end() < n:
                 best.setdefault(m.end(), penalty)
     at = sorted(best)
 
-    def fill(at: list[int], gap: int, inner) -> list[int]:
+    def fill(at: list[int], inner) -> list[int]:
         out, last = [], 0
         for p in [*at, n]:
             if p - last > gap:
@@ -61,8 +61,8 @@ def _candidates(text: str) -> tuple[np.ndarray, np.ndarray]:
             last = p
         return [p for p in out if p < n]
 
-    at = fill(at, COARSE_GAP, lambda a, b: ((m.end(), WORD) for m in _WORD.finditer(text, a, b)))
-    at = fill(at, COARSE_GAP, lambda a, b: ((q, NONE) for q in range(a + FINE_GAP, b, FINE_GAP)))
+    at = fill(at, lambda a, b: ((m.end(), WORD) for m in _WORD.finditer(text, a, b)))
+    at = fill(at, lambda a, b: ((q, NONE) for q in range(a + max(1, gap // 4), b, max(1, gap // 4))))
     best[n] = 0.0
     at = [*at, n]
     return np.array(at), np.array([best[p] for p in at])
@@ -83,7 +83,7 @@ def cut_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> l
     n = len(text)
     if n <= max_chars:
         return [(0, n)]
-    ends, penalty = _candidates(text)
+    ends, penalty = _candidates(text, max_chars - overlap)
     starts = np.concatenate(([0], _starts(text, ends, overlap)))  # starts[k]: of the piece after cut k, cut 0 at 0
     even = n / np.ceil((n - overlap) / (max_chars - overlap))
     cost = np.full(len(ends) + 1, np.inf)
