@@ -78,12 +78,15 @@ _CONTACT = re.compile(
     r"^[ \t]*(?:(?:tel|phone|mobile?|mob|fax|cell|m|t|p|e|e-?mail|web|telefon|handy|tél|teléfono|телефон)\b[.:]{0,2}[ \t]*[+(\d]|(?:https?://|www\.)\S+[ \t]*$|\S+@\S+\.\S+[ \t]*$|[+(]?\d[\d ()./-]{6,}$)", re.I
 )
 _LEGAL = re.compile(
-    r"confidential|privileged|intended (?:only|solely)|meant only for|addressee|unauthori[sz]ed|reached you by mistake|received (?:this|it) (?:\w+ )?in error|without consent|registered office|company number|scanned and stored|views in this mail|bind no company|no liability"
-    r"|think of the forest|before you print|vertraulich|genannten empfänger|irrtümlich|löschen sie|confidentiel|diffusion non autorisée|confidencial|destinatario|destinatário|vertrouwelijk|geadresseerde|конфиденциальн|адресат",
+    r"^\W*confidential\w*\s*[:.!-]|\b(?:e-?mail|mail|message|contents?)\b.{0,60}\bconfidential|confidential.{0,90}\b(?:addressee|recipient|privileged|e-?mail|message)|privileged|intended (?:only|solely)|meant only for|addressee|unauthori[sz]ed|reached you by mistake|received (?:this|it) (?:\w+ )?in error|without consent|registered office|company number|scanned and stored|views in this mail|bind no company|no liability"
+    r"|think of the forest|before you print|(?:nachricht|mail).{0,60}vertraulich|genannten empfänger|irrtümlich|löschen sie|message.{0,40}confidentiel|diffusion non autorisée|(?:mensaje|mensagem|correo).{0,60}confidencial|destinatario|destinatário|(?:bericht|mail).{0,60}vertrouwelijk|geadresseerde|(?:сообщение|письмо).{0,60}конфиденциальн|адресат",
     re.I,
 )
 _POSTSCRIPT = re.compile(r"^[ \t]*(?:p\.?[ ]?p?\.?s\.?|nachtrag|з\.?ы\.?)(?:[ \t]*[:.\-–—]|[ \t]+(?=\S))", re.I)
 _NAME_LIKE = re.compile(r"^[-–—/ \t]*[^\W\d_][\w.'’-]*(?:[ \t]+[^\W\d_][\w.'’-]*){0,3}[ \t,]*$")
+_ADDRESSED = re.compile(
+    r"^[ \t]*(?:[*_]*(?:to|an|para|à|aan|кому)[ \t]?:[*_]*[ \t]*([^<\n]+)|(?:(?:dear|hi|hello|hey|hola|salut|bonjour|hallo|guten tag|liebe[r]?|buenos días|beste|olá)[, ]+)?([^\W\d_]{2,20})[ \t]*[,:!–-]{1,2}[ \t]*$)", re.I
+)
 _INITIAL = re.compile(r"^[-–—/ \t]*[^\W\d_]{1,2}\.?$")
 
 
@@ -139,6 +142,14 @@ def _header_lines(lines: list[str], i: int) -> int:
     return n if n >= 2 else 0
 
 
+def _goes_on(quoted: str, line: str, known: bool) -> bool:
+    """Is the line the rest of the quoted line above, wrapped without its prefix."""
+    first = line.lstrip()[:1]
+    if first.islower() or first.isdigit():
+        return not re.search(r"[.!?…>|][)\"'”’»]*[ \t]*$", quoted)
+    return not known and len(quoted) >= MIN_WRAPPED and bool(_UNENDED.search(quoted))
+
+
 def covered_lines(lines: list[str], known: set[int]) -> np.ndarray:
     """Which lines lie in merged intervals that the automaton of the known sentences matches."""
     out = np.zeros(len(lines), bool)
@@ -253,18 +264,28 @@ def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[
             break
         if i and _PREFIX.match(lines[i - 1]) and _is_intro(_PREFIX.sub("", lines[i - 1]).strip() + " " + lines[i].strip()):
             old[i] = True  # an introduction inside the quote, wrapped without its prefix
-        elif i and old[i - 1] and _PREFIX.match(lines[i - 1]) and _UNENDED.search(lines[i - 1]) and (lines[i].lstrip()[:1].islower() or (not known and len(lines[i - 1]) >= MIN_WRAPPED)):
+        elif i and old[i - 1] and _PREFIX.match(lines[i - 1]) and _goes_on(lines[i - 1], lines[i], bool(known)):
             old[i] = True  # the rest of a quoted line that was wrapped without its prefix
         i += 1
     old[end:] = True
     old |= long_stretches(lines, covered)
-    sign = _signature(lines, old, blank, learned, names)
+    for k in range(1, n):  # an earlier line that lost its mark inside a quote
+        if covered[k] and not old[k] and _PREFIX.match(lines[k - 1]) and (k + 1 == n or blank[k + 1] or _PREFIX.match(lines[k + 1])):
+            old[k] = True
+    loose = not names
+    if loose:  # the sender is whom the quoted mail speaks to
+        for k in range(n):
+            m = _ADDRESSED.match(_PREFIX.sub("", lines[k])) if old[k] else None
+            if m and (m[1] or m[2][0].isupper()):
+                names = own_words(m[1] or m[2])
+                break
+    sign = _signature(lines, old, blank, learned, names, loose)
     gone = old | np.array(blank, dtype=bool)
     gone[sign] = True
     return [k for k in range(n) if not gone[k]], [k for k in sign if not old[k]]
 
 
-def _signature(lines, old, blank, learned, names) -> list[int]:
+def _signature(lines, old, blank, learned, names, loose) -> list[int]:
     """Lines of closing formula, signature, device notes, rulers and legal notices in the own text."""
     own = [k for k in range(len(lines)) if not old[k] and not blank[k]]
     sign: set[int] = set()
@@ -283,7 +304,7 @@ def _signature(lines, old, blank, learned, names) -> list[int]:
             if _is_sign(lines[k], names) or _LEGAL.search(_joined(lines, k)) or (learned[k] and len(lines[k].strip()) < 50):
                 first = k
                 continue
-            if _is_name(lines, k, names) or _is_role(lines, k, own, names):
+            if _is_name(lines, k, names, loose) or _is_role(lines, k, own, names, loose):
                 first = k
                 continue
             break
@@ -317,7 +338,7 @@ def _in_postscript(lines: list[str], k: int) -> bool:
         k -= 1
 
 
-def _is_name(lines: list[str], k: int, names: set[str]) -> bool:
+def _is_name(lines: list[str], k: int, names: set[str], loose: bool) -> bool:
     """A line of only a person's name: the sender's, or any name under a ruler or, if the sender is unknown, a blank line."""
     x = lines[k].strip()
     words = re.findall(r"[^\W_]+", x)
@@ -327,13 +348,13 @@ def _is_name(lines: list[str], k: int, names: set[str]) -> bool:
         return True
     above = lines[k - 1].strip() if k else ""
     capital = len(words) <= 3 and all(w[:1].isupper() for w in words) and not re.search(r"\d", x)
-    return capital and k > 0 and (bool(_RULER.match(above)) or (not names and not above))
+    return capital and k > 0 and (bool(_RULER.match(above)) or (loose and not above))
 
 
-def _is_role(lines: list[str], k: int, own: list[int], names: set[str]) -> bool:
+def _is_role(lines: list[str], k: int, own: list[int], names: set[str], loose: bool) -> bool:
     """A short line without sentence marks right under a line of only a name."""
     x = lines[k].strip()
-    return len(x) <= 45 and x[:1].isupper() and not re.search(r"[.!?:;,]$", x) and k - 1 in own and (_is_name(lines, k - 1, names) or _is_sign(lines[k - 1], names))
+    return len(x) <= 45 and x[:1].isupper() and not re.search(r"[.!?:;,]$", x) and k - 1 in own and (_is_name(lines, k - 1, names, loose) or _is_sign(lines[k - 1], names))
 
 
 def mails(turns: DataFrame) -> DataFrame:
