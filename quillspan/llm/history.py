@@ -49,7 +49,10 @@ def sign(files: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 if not len(r):
                     rs.append([]), ks.append([])
                     continue
-                low = np.array([mix(r ^ s).min() for s in seeds]).reshape(KEYS, KEY_HASHES)
+                low = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
+                for at in range(0, len(r), 2048):  # bounded memory for very long texts
+                    low = np.minimum(low, mix(r[None, at : at + 2048] ^ seeds[:, None]).min(axis=1))
+                low = low.reshape(KEYS, KEY_HASHES)
                 with np.errstate(over="ignore"):
                     ks.append(mix((low * odd).sum(axis=1, dtype=np.uint64) ^ salts).view(np.int64))
                 rs.append(r.view(np.int64))
