@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.words import hash64
 from quillspan.plans.blocks import latest
+from quillspan.session import cut
 
 #: Sentences below this length are too common to show that text was quoted.
 MIN_SENTENCE = 24
@@ -383,7 +384,7 @@ def sentence_hashes(m: DataFrame) -> DataFrame:
 def _reduced(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, line_nos, text) of every mail."""
     m = mails(turns)
-    hashes = sentence_hashes(m)
+    hashes = cut(sentence_hashes(m))  # used twice
     first = hashes.groupBy("conv_id", "h").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last")
     known = (
         hashes.join(first.select("conv_id", "h", "first"), ["conv_id", "h"]).where("first < turn")
