@@ -66,7 +66,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quillspan_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="quillspan-ship-"), "quillspan.zip")
+    shared = shared_dir(spark).removeprefix("file://")
+    # only the driver reads this file, it serves it to the executors
+    folder = shared if os.path.isdir(shared) else tempfile.mkdtemp(prefix="quillspan-ship-")
+    target = os.path.join(tempfile.mkdtemp(prefix="ship-", dir=folder), "quillspan.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(root):
             for name in files:
