@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.functions.unicode import kebab_case, link_target_keys, topic
-from quillspan.operators import archive, linking, manifest, notes
+from quillspan.operators import archive, linking, manifest, notes, summary
 from quillspan.plans.blocks import latest
 from quillspan.session import cut, read
 
@@ -158,8 +158,32 @@ def _majority(spark, d):
     return archive.majority(r, "session_name", "source", "doc_id")
 
 
+def _link_stats(spark, d):
+    s, v = _both(spark, d)
+    fwd = cut(linking.forward_links(linking.top(linking.candidates(s, v, False), v), v))
+    return summary.link_stats(fwd, linking.back_links(fwd, s))
+
+
+def _preview(spark, d):
+    s, v = _both(spark, d)
+    fwd = linking.forward_links(linking.top(linking.candidates(s, v, False), v), v)
+    return summary.preview(fwd, s)
+
+
+def _reports(spark, d):
+    from quillspan.plans import queries_text
+
+    return summary.report_lines(queries_text.queries()["optimize_report"](spark, d))
+
+
 def queries() -> dict:
     return {
+        "link_stats": _link_stats,
+        "link_preview": _preview,
+        "report_lines": _reports,
+        "first_source": lambda s, d: summary.first_value(read(s, d, "documents").where("session_name IS NOT NULL"), "session_name", "source", "doc_id"),
+        "last_document": lambda s, d: summary.last_row(read(s, d, "documents").where("session_name IS NOT NULL"), "session_name", "doc_id", ["lang", "doc_kind"]),
+        "session_lists": lambda s, d: summary.ordered_distinct(read(s, d, "documents").where("doc_kind IS NOT NULL"), "doc_kind", "lang", "doc_id").select("doc_kind", F.array_join("values", "|").alias("langs")),
         "wikilinks": lambda s, d: read(s, d, "vault_notes").select("note_id", F.array_join(T.wikilinks("body_lower"), "|").alias("links")).distinct(),
         "link_targets": lambda s, d: read(s, d, "vault_notes").select("note_id", F.array_join(F.array_sort(link_target_keys("body_lower", F.lit(None).cast("array<string>"), "link_targets")), "|").alias("targets")).distinct(),
         "kebab_slugs": lambda s, d: read(s, d, "vault_notes").select("note_id", kebab_case("title").alias("slug")).distinct(),
@@ -275,6 +299,11 @@ def oracle_sql() -> dict[str, str]:
     body = link.replace("{x}", "coalesce(body_lower, '')")
     keys = f"list_filter(list_concat(list_transform({body}, lambda x: trim(x)), list_transform(coalesce(link_targets, []), lambda x: coalesce({link.replace('{x}', 'x')}[1], trim(x)))), lambda x: x IS NOT NULL AND x <> '')"
     return {
+        "link_stats": _VAULT + _TAGP + _CONP + _TOP + "SELECT count(*) AS forward, count(DISTINCT src) AS forward_notes, CAST((SELECT count(*) FROM (SELECT DISTINCT fw.tgt, s.title FROM fw JOIN v s ON s.id = fw.src)) AS BIGINT) AS backlinks, count(DISTINCT tgt) AS backlink_notes FROM fw",
+        "link_preview": _VAULT + _TAGP + _CONP + _TOP + """SELECT fw.src, 'NEW: "' || any_value(s.title) || '"' || E'\\n' || string_agg('  → would link to: [[' || tgt_title || ']] (' || reason || ')', E'\\n' ORDER BY rank) || E'\\n  ← would backlink into: ' || string_agg('[[' || tgt_title || ']]', ', ' ORDER BY rank) AS lines FROM fw JOIN v s ON s.id = fw.src GROUP BY fw.src""",
+        "first_source": f"SELECT session_name, arg_min({_strip('source')}, doc_id) AS source FROM documents WHERE session_name IS NOT NULL AND coalesce({_strip('source')}, '') <> '' GROUP BY 1",
+        "last_document": "SELECT session_name, lang, doc_kind FROM (SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY doc_id DESC) AS k FROM documents WHERE session_name IS NOT NULL) WHERE k = 1",
+        "session_lists": "SELECT doc_kind, string_agg(lang, '|' ORDER BY f) AS langs FROM (SELECT doc_kind, lang, min(doc_id) AS f FROM documents WHERE doc_kind IS NOT NULL AND lang IS NOT NULL GROUP BY ALL) GROUP BY 1",
         "wikilinks": f"SELECT DISTINCT note_id, array_to_string(list_transform({body}, lambda x: trim(x)), '|') AS links FROM vault_notes",
         "link_targets": f"SELECT DISTINCT note_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(list_transform({keys}, lambda x: lower(x)), list_transform({keys}, lambda x: {_slug('x')})))), '|'), '') AS targets FROM vault_notes",
         "kebab_slugs": f"SELECT DISTINCT note_id, {_slug('title')} AS slug FROM vault_notes",

@@ -177,3 +177,48 @@ def test_index_warning_and_footer(spark):
     assert one(spark, T.index_warning(F.lit("# T\n\nx"), F.lit(40))).startswith("# T\n\n> ⚠") and one(spark, T.index_warning(F.lit("x"), F.lit(4))).endswith("\n\nx")
     f = one(spark, T.append_footer(F.lit("b "), F.array(F.lit("- 1"))))
     assert f == "b\n\n## Related (Cross-Session)\n\n- 1\n" and one(spark, T.append_footer(F.lit(f), F.array(F.lit("- 2")))).endswith("- 1\n- 2\n")
+
+
+def test_stamp_and_merged_stats(spark):
+    from quillspan.operators import summary
+
+    assert one(spark, summary.stamp(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), {"b": F.lit('x"y'), "c": F.lit(None).cast("string")})) == {"a": "1", "b": '"x\\"y"'}
+    cols = ["enabled", "forward", "forward_notes", "backlinks", "backlink_notes", "failures", "backups"]
+    df = spark.createDataFrame([(True, 1, 2, 3, 4, 5, 6), (False, 1, 1, 1, 1, 1, 1)], "enabled boolean, " + ", ".join(f"{c} int" for c in cols[1:]))
+    assert tuple(summary.merge_stats(df).first()) == (True, 2, 3, 4, 5, 6, 7) and summary.merge_stats(df.limit(0)).first().enabled is False
+
+
+def test_model_clients(spark):
+    import http.server
+    import json
+    import threading
+
+    from quillspan.sources import models
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            sent = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if self.path.endswith("/messages"):
+                body = {"content": [{"type": "text", "text": sent["messages"][0]["content"].upper()}, {"type": "other"}], "usage": {"input_tokens": 2, "output_tokens": 3}}
+            else:
+                body = {"choices": [{"message": {"content": sent["messages"][1]["content"] + "!"}}]} if sent["messages"][1]["content"] != "bad" else {}
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}/v1"
+    df = spark.createDataFrame([("s", "hi"), ("s", "bad")], "system string, user string")
+    got = {r.user: r for r in notes.extract(df, models.build("local", endpoint=url), "system", "user").collect()}
+    assert got["hi"].text == "hi!" and got["hi"].error is None and got["bad"].text is None and "unexpected" in got["bad"].error
+    import os
+
+    os.environ["SOME_KEY"] = "k"
+    assert models.build("hosted", endpoint=url, model="m", key_variable="SOME_KEY")("s", "hi") == ("HI", 2, 3)
+    server.shutdown()
