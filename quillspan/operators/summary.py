@@ -68,9 +68,14 @@ def report_lines(report: DataFrame) -> DataFrame:
 
 def stamp(extra, values: dict[str, Column]) -> Column:
     """The extra fields of a note (map of JSON values) with more fields; NULL values are left out, old ones replaced."""
-    x = F.coalesce(F.col(extra) if isinstance(extra, str) else extra, F.create_map().cast("map<string,string>"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    x = F.coalesce(F.col(extra) if isinstance(extra, str) else extra, none)
     for k, v in values.items():
-        kept = F.map_filter(x, lambda key, _, k=k: key != k)
+        kept = F.map_filter(x, _other_than(k))
         quoted = F.concat(F.lit('"'), F.regexp_replace(v, r'(["\\])', r"\\$1"), F.lit('"'))
         x = F.when(v.isNotNull(), F.map_concat(kept, F.create_map(F.lit(k), quoted))).otherwise(x)
     return x
+
+
+def _other_than(name: str):
+    return lambda key, _: key != name
