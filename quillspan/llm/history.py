@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm.words import WordHashes, mix, runs, words
-from quillspan.session import cut, scratch_table
+from quillspan.session import cut, scratch_table, stored
 
 THRESHOLD, RUN_WORDS = 0.7, 3
 #: A pair at similarity 0.7 meets under no key with probability (1 - 0.7 ** 4) ** 36, about 5e-5.
@@ -130,6 +130,7 @@ class History:
         pool = old.unionByName(new.select("key_no", "key", F.col("n").alias("m"), F.col("file_id").alias("earlier"), F.lit(False).alias("old")))
         window = (F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")) & (F.col("earlier") < F.col("file_id"))
         met = new.join(pool, ["key_no", "key"]).where(window).groupBy("file_id", "earlier").agg(F.max("old").alias("old"))
+        met = stored(met, "history-met")  # pairs are few; a known size lets the planner leave the sets where they lie
         sets = self._read("sets").select(F.col("file_id").alias("earlier"), F.col("runs").alias("b")).unionByName(
             reps.select(F.col("file_id").alias("earlier"), F.col("runs").alias("b"))
         )
