@@ -9,7 +9,7 @@ are compacted into one.
 
 Copies of one text form a class that is represented by its smallest id; only representatives enter windows.
 
-Defined results: of a repeated id one row counts (the greatest content); a NULL id is dropped; a NULL content is
+Defined results: of a repeated id one row counts (the greatest content hash); a NULL id is dropped; a NULL content is
 accepted and matches nothing; texts under three words match by hash only; an empty delivery or history is allowed.
 Extra columns are ignored. Ties do not occur, as ids are unique.
 """
@@ -33,8 +33,19 @@ RANGES, MAX_RUNS = 16, 4
 _SIGNED = "file_id bigint, content_sha string, n int, runs array<bigint>, keys array<bigint>"
 
 
-def sign(files: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """(file_id, content_sha, n, runs, keys) of (file_id, content)."""
+def classes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (file_id, content_sha, rep) and the contents (file_id, content_sha, content) of the representatives of
+    (file_id, content). Ids and hashes travel alone; a content is shuffled once, copies are merged on the way."""
+    hashed = files.where("file_id IS NOT NULL").select("file_id", "content", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
+    ids = hashed.groupBy("file_id").agg(F.max("content_sha").alias("content_sha"))
+    firsts = ids.where("content_sha IS NOT NULL").groupBy("content_sha").agg(F.min("file_id").alias("rep"))
+    texts = hashed.where("content_sha IS NOT NULL").groupBy("content_sha").agg(F.first("content").alias("content"))
+    reps = texts.join(firsts, "content_sha").select(F.col("rep").alias("file_id"), "content_sha", "content")
+    return ids.where("content_sha IS NOT NULL").join(firsts, "content_sha"), reps
+
+
+def sign(reps: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(file_id, content_sha, n, runs, keys) of (file_id, content_sha, content)."""
     rng = np.random.RandomState(20240229)
     seeds = rng.randint(0, 1 << 62, KEYS * KEY_HASHES).astype(np.uint64)
     salts = rng.randint(0, 1 << 62, KEYS).astype(np.uint64)
@@ -58,11 +69,7 @@ def sign(files: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 rs.append(r.view(np.int64))
             yield pd.DataFrame({"file_id": pdf.file_id, "content_sha": pdf.content_sha, "n": [len(r) for r in rs], "runs": rs, "keys": ks})
 
-    one = (
-        files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.max("content").alias("content"))
-        .select("file_id", "content", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
-    )
-    return one.mapInPandas(go, _SIGNED)
+    return reps.mapInPandas(go, _SIGNED)
 
 
 def clean_sha(c):
@@ -112,16 +119,14 @@ class History:
 
     def accept(self, files: DataFrame) -> None:
         """Takes all of ``files`` (file_id, content) in without checks."""
-        signed = cut(sign(files))
-        first = signed.groupBy("content_sha").agg(F.min("file_id").alias("file_id")).select("file_id")
-        self._append(signed.join(first, "file_id", "left_semi"))
+        self._append(cut(sign(classes(files)[1])))
 
     def ingest(self, files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """The cases (earlier_file_id, file_id) of a delivery (file_id, content), taken in the order of ids;
         the rest of the delivery is accepted."""
-        signed = cut(sign(files))
-        members = signed.where("content_sha IS NOT NULL").groupBy("content_sha").agg(F.min("file_id").alias("rep"))
-        reps = cut(signed.join(members.select(F.col("rep").alias("file_id")), "file_id", "left_semi"))
+        members, texts = classes(files)
+        members = stored(members, "history-members")
+        reps = cut(sign(texts))
         known = self._read("hashes").groupBy("content_sha").agg(F.min("file_id").alias("earlier"))
         exact = reps.join(known, "content_sha").select("file_id", "earlier", F.lit(True).alias("old"))
 
@@ -140,13 +145,13 @@ class History:
             .where(shared >= threshold * (F.size("a") + F.size("b") - shared)).select("file_id", "earlier", "old")
         )
         edges = cut(exact.unionByName(near))
-        decided = self._resolve(edges)
+        decided = stored(self._resolve(edges), "history-decided")
 
         dropped = decided.where("earlier IS NOT NULL")
-        self._append(reps.join(dropped.select("file_id"), "file_id", "left_anti").unionByName(signed.where("content_sha IS NULL")))
-        case_of_rep = members.join(decided.select(F.col("file_id").alias("rep"), "earlier"), "rep", "left")
+        self._append(reps.join(dropped.select("file_id"), "file_id", "left_anti"))
         cases = (
-            signed.join(case_of_rep, "content_sha").withColumn("earlier_file_id", F.when(F.col("earlier").isNotNull(), F.col("earlier")).when(F.col("file_id") != F.col("rep"), F.col("rep")))
+            members.join(dropped.select(F.col("file_id").alias("rep"), "earlier"), "rep", "left")
+            .withColumn("earlier_file_id", F.when(F.col("earlier").isNotNull(), F.col("earlier")).when(F.col("file_id") != F.col("rep"), F.col("rep")))
             .where("earlier_file_id IS NOT NULL").select("earlier_file_id", "file_id")
         )
         return cut(cases)
@@ -180,7 +185,7 @@ class History:
             edges.join(s, "earlier", "left").where("old OR coalesce(their, 'accepted') = 'accepted'")
             .groupBy("file_id").agg(F.min("earlier").alias("earlier"))
         )
-        return cut(state.select("file_id").join(best, "file_id", "left"))
+        return state.select("file_id").join(best, "file_id", "left")
 
 
 def repeated_files(input_files: DataFrame, manifest: DataFrame, batches_per_delivery: int = 8) -> DataFrame:
