@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.operators.nested import flatten_exports, piece_keys
-from quillspan.plans import queries_notes, queries_text
+from quillspan.plans import oracle_exports, queries_notes, queries_text
 from quillspan.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,4 +32,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_text.oracle_sql() | queries_notes.oracle_sql()
+    return queries_text.oracle_sql() | queries_notes.oracle_sql() | oracle_exports.oracle_sql()
