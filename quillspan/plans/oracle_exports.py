@@ -53,28 +53,98 @@ _KEY = "regexp_replace(lower(trim(regexp_extract(line, '{p}', 1))), '\\.+$', '')
 _HEAD = r"^\s*#{1,6}\s+([A-Za-z][A-Za-z .]{0,30}?)\s*:?\s*$"
 _LINE = r"^\s*[*_]{0,2}([A-Za-z][A-Za-z .]{0,30}?)[*_]{0,2}\s*[:：]\s*(.*)$"
 
-_SPEAKERS = (
-    r"""
-WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\n$', ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]') AS ls FROM documents WHERE doc_kind = 'transcript' AND text <> '')),
-m AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM l),
-f AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM m),
-r AS (SELECT *, CASE WHEN mark OR k % 2 = 1 THEN NULL ELSE coalesce("""
-    + _ROLE.replace("{x}", _KEY.replace("{p}", _HEAD)) + ", " + _ROLE.replace("{x}", _KEY.replace("{p}", _LINE))
-    + ") END AS role, "
-    + f"CASE WHEN {_ROLE.replace('{x}', _KEY.replace('{p}', _HEAD))} IS NOT NULL THEN '' ELSE regexp_extract(line, '{_LINE}', 2) END AS rest FROM f),"
-    + r"""
+_SPLIT = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+_FENCE = r"regexp_matches(line, '^\s*(```|~~~)')"
+_NOISE = (
+    r"(?i)^\s*(?:learn more:?|sources?:?|references?:?|ai-generated content may be incorrect\.?|copilot uses ai\. check for mistakes\.?|\d+\s+of\s+\d+\s+responses?)\s*$|^\s*\[\d+\][:.]?\s+\S+.*$"
+)
+_COPILOT = r"(?i)^\s*(?:#{1,6}\s+)?[*_]{0,2}(You said|You|Me|User said|User|Copilot said|Copilot|Bing said|Bing|Microsoft 365 Copilot|M365 Copilot|Microsoft Copilot)[*_]{0,2}\s*[:：]?\s*(.*)$"
+
+
+def _lines(where: str) -> str:
+    """Lines (doc_id, pos, line) by any line end, with the running count of fence lines."""
+    return rf"""
+l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '\n$', ''), {_SPLIT}) AS ls FROM documents WHERE text <> '' AND {where})),
+m AS (SELECT *, {_FENCE} AS mark FROM l),
+f AS (SELECT *, sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM m)"""
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{_B}+|{_B}+$', '', 'g')"
+
+
+def _marked(name: str, source: str, by: str) -> str:
+    """Content per ``by`` of body lines: window lines out, HTML off outside fences, blank lines collapsed, trimmed."""
+    return f"""
+{name}m AS (SELECT *, {_FENCE} AS mk FROM {source}),
+{name}f AS (SELECT *, mk OR sum(CAST(mk AS INTEGER)) OVER (PARTITION BY {by} ORDER BY pos) % 2 = 1 AS fenced FROM {name}m),
+{name}c AS (SELECT {by}, string_agg(CASE WHEN fenced THEN line ELSE regexp_replace(line, '{_HTML}', '', 'g') END, E'\\n' ORDER BY pos) AS content FROM {name}f WHERE fenced OR NOT regexp_matches(line, '{_UI}') GROUP BY {by}),
+{name} AS (SELECT {by}, {_trim("regexp_replace(content, '\\n{3,}', E'\\n\\n', 'g')")} AS content FROM {name}c)"""
+
+
+def _turns(where: str, copilot: bool = False) -> str:
+    """CTEs up to ``tu`` (doc_id, turn, role, content): speaker turns, numbered from 0."""
+    if copilot:
+        label = f"lower(regexp_extract(line, '{_COPILOT}', 1))"
+        role = f"CASE WHEN {label} = '' THEN NULL WHEN {label} IN ('you said', 'you', 'me', 'user said', 'user') THEN 'human' ELSE 'assistant' END"
+        rest = _trim(f"regexp_extract(line, '{_COPILOT}', 2)")
+        clean = r"""
+bn AS (SELECT *, mk OR sum(CAST(mk AS INTEGER)) OVER (PARTITION BY doc_id, turn ORDER BY pos) % 2 = 1 AS fn FROM (SELECT *, """ + _FENCE + r""" AS mk FROM b)),
+bb AS (SELECT doc_id, turn, pos, CASE WHEN fn THEN line ELSE regexp_replace(regexp_replace(line, '\s*[\[⁽]\d+[\]⁾]', '', 'g'), '[¹²³⁰⁴-⁹]+', '', 'g') END AS line FROM bn WHERE fn OR NOT regexp_matches(line, '""" + _NOISE + "')),"
+    else:
+        head, line = _ROLE.replace("{x}", _KEY.replace("{p}", _HEAD)), _ROLE.replace("{x}", _KEY.replace("{p}", _LINE))
+        role, rest = f"coalesce({head}, {line})", f"CASE WHEN {head} IS NOT NULL THEN '' ELSE regexp_extract(line, '{_LINE}', 2) END"
+        clean = "bb AS (SELECT * FROM b),"
+    return (
+        _lines(where)
+        + f""",
+r AS (SELECT *, CASE WHEN mark OR k % 2 = 1 THEN NULL ELSE {role} END AS role, {rest} AS rest FROM f),
 t AS (SELECT *, sum(CASE WHEN role IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS turn FROM r),
 b AS (SELECT doc_id, turn, pos, CASE WHEN role IS NULL THEN line ELSE rest END AS line FROM t WHERE role IS NULL OR rest <> ''),
-bm AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS mark FROM b),
-bf AS (SELECT *, mark OR sum(CAST(mark AS INTEGER)) OVER (PARTITION BY doc_id, turn ORDER BY pos) % 2 = 1 AS fenced FROM bm),
-"""
-    + f"c AS (SELECT doc_id, turn, string_agg(CASE WHEN fenced THEN line ELSE regexp_replace(line, '{_HTML}', '', 'g') END, E'\\n' ORDER BY pos) AS content FROM bf WHERE fenced OR NOT regexp_matches(line, '{_UI}') GROUP BY doc_id, turn),"
-    + f"""
-d AS (SELECT doc_id, turn, regexp_replace(regexp_replace(content, '\\n{{3,}}', E'\\n\\n', 'g'), '^{_B}+|{_B}+$', '', 'g') AS content FROM c),
-w AS (SELECT doc_id, turn, any_value(role) AS role FROM t WHERE role IS NOT NULL GROUP BY ALL)
-SELECT d.doc_id AS file_id, CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY d.turn) - 1 AS INTEGER) AS turn, coalesce(w.role, 'human') AS role, d.content FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND w.turn = d.turn WHERE d.content <> ''"""
+{clean}"""
+        + _marked("d", "bb", "doc_id, turn")
+        + """,
+w AS (SELECT doc_id, turn, any_value(role) AS role FROM t WHERE role IS NOT NULL GROUP BY doc_id, turn),
+tu AS (SELECT d.doc_id, CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY d.turn) - 1 AS INTEGER) AS turn, coalesce(w.role, 'human') AS role, d.content FROM d LEFT JOIN w ON w.doc_id = d.doc_id AND w.turn = d.turn WHERE d.content <> '')"""
+    )
+
+
+_SPEAKERS = "WITH" + _turns("doc_kind = 'transcript'") + " SELECT doc_id AS file_id, turn, role, content FROM tu"
+_COPILOT_TURNS = "WITH" + _turns("doc_kind = 'copilot'", True) + " SELECT doc_id AS file_id, turn, role, content FROM tu"
+_MARKUP = "WITH" + _lines("true") + "," + _marked("x", "(SELECT doc_id, pos, line FROM l)", "doc_id") + " SELECT d.doc_id, coalesce(x.content, '') AS content FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id"
+_PLAIN = (
+    "WITH" + _turns("true") + "," + _marked("x", "(SELECT doc_id, pos, line FROM l)", "doc_id")
+    + """, n AS (SELECT doc_id, count(*) AS n FROM tu GROUP BY doc_id)
+SELECT tu.doc_id AS file_id, tu.turn, tu.role, tu.content FROM tu JOIN n ON n.doc_id = tu.doc_id WHERE n.n >= 2
+UNION ALL SELECT x.doc_id, 0, 'human', x.content FROM x LEFT JOIN n ON n.doc_id = x.doc_id WHERE coalesce(n.n, 0) < 2 AND x.content <> ''"""
 )
 
+
+def _passes(turns: str) -> dict[str, str]:
+    """Line passes over turns: metadata and code lines stay, text goes by runs of lines between them."""
+    lines = turns.rstrip() + rf""",
+pl AS (SELECT conv_id, turn, unnest(range(len(ls))) AS pos, unnest(ls) AS line, {_trim('ls[1]')} = '---' AS y FROM (SELECT conv_id, turn, string_split(content, E'\n') AS ls FROM t)),
+py AS (SELECT *, CASE WHEN y THEN min(CASE WHEN pos > 0 AND {_trim('line')} = '---' THEN pos END) OVER (PARTITION BY conv_id, turn) END AS ye FROM pl),
+pm AS (SELECT *, coalesce(pos <= ye, false) AS meta, {_FENCE} AND NOT coalesce(pos <= ye, false) AS mark FROM py),
+pf AS (SELECT *, mark OR sum(CAST(mark AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY pos) % 2 = 1 OR meta AS opaque FROM pm)"""
+    toc = r"'^.+?(\.{3,}|\t+|\s{3,})\s*\d{1,4}\s*$'"
+    listed = f"(NOT opaque AND {_trim('line')} <> '' AND regexp_matches({_trim('line')}, {toc}))"
+    contents = lines + f""",
+ph AS (SELECT *, {listed} AS hit FROM pf), pi AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, hit ORDER BY pos) AS isl FROM ph),
+pn AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn, hit, isl) AS n FROM pi),
+pj AS (SELECT conv_id, turn, {_trim("string_agg(line, E'\\n' ORDER BY pos)")} AS x FROM pn WHERE NOT (hit AND n >= 5) GROUP BY conv_id, turn)
+SELECT conv_id, turn, length(x) AS n_chars FROM pj WHERE x <> ''"""
+    cut = f"regexp_replace(line, '{_B}+$', '')"
+    blanks = lines + f""",
+pc AS (SELECT conv_id, turn, pos, opaque, CASE WHEN opaque THEN line WHEN contains(line, '|') THEN {cut} ELSE regexp_replace({cut}, ' {{3,}}', ' ', 'g') END AS line FROM pf WHERE opaque OR NOT regexp_full_match({_trim('line')}, '[-=_]{{11,}}')),
+pg AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, opaque ORDER BY pos) AS g0 FROM pc),
+pr AS (SELECT *, sum(ch) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS g FROM (SELECT *, CASE WHEN opaque = lag(opaque) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 0 ELSE 1 END AS ch FROM pc)),
+ps AS (SELECT conv_id, turn, g, min(pos) AS pos, CASE WHEN bool_or(opaque) THEN string_agg(line, E'\\n' ORDER BY pos) ELSE regexp_replace(string_agg(line, E'\\n' ORDER BY pos), '\\n{{3,}}', E'\\n\\n', 'g') END AS seg FROM pr GROUP BY conv_id, turn, g),
+pj AS (SELECT conv_id, turn, {_trim("string_agg(seg, E'\\n' ORDER BY pos)")} AS x FROM ps GROUP BY conv_id, turn)
+SELECT conv_id, turn, length(x) AS n_chars FROM pj WHERE x <> ''"""
+    return {"pass_contents": contents, "pass_whitespace": blanks}
+
+
 _TEXT = "CASE WHEN json_type({x}) = 'VARCHAR' THEN nullif({x} ->> '$', '') END"
 
 
@@ -97,11 +167,16 @@ SELECT export_id AS file_id, conv_no, session, CAST(row_number() OVER (PARTITION
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from quillspan.plans.queries_text import _T
+
+    return _passes(_T) | {
         "p1_found": _WRAPPED + "SELECT DISTINCT export_id, conv_no, node_key, parent_key, piece_path FROM pc",
         "p1_conversations": _WRAPPED + """, k AS (SELECT export_id, conv_no, count(*) AS n FROM ms GROUP BY ALL)
 SELECT DISTINCT co.export_id, co.conv_no, CASE WHEN json_type(mp) = 'OBJECT' THEN 'mapping' WHEN json_type(c -> 'chat_messages') = 'ARRAY' THEN 'chat_messages' WHEN json_type(c -> 'messages') = 'ARRAY' THEN 'messages' ELSE '' END AS layout,
   coalesce(c ->> 'title', c ->> 'name') AS title, c ->> 'current_node' AS current_node, CAST(coalesce(k.n, 0) AS INTEGER) AS n_messages FROM co LEFT JOIN k ON k.export_id = co.export_id AND k.conv_no = co.conv_no""",
         "claude_turns": _CLAUDE,
         "speaker_turns": _SPEAKERS,
+        "copilot_turns": _COPILOT_TURNS,
+        "plain_turns": _PLAIN,
+        "clean_markup": _MARKUP,
     }
