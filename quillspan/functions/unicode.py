@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from quillspan.functions.bounds import Matcher, close_letters
 from quillspan.functions.text import ascii_kebab, ascii_topic, col, strip, wikilinks, without_index_prefix
 
 _ASCII = r"^\p{ASCII}*$"
@@ -79,6 +80,23 @@ def ratio(a, b) -> Column:
     return _ratio(col(a), col(b))
 
 
+def ratio_at_least(a, b, threshold: float) -> Column:
+    """``ratio`` where it reaches ``threshold``, else NULL; cheap bounds come before the exact comparison."""
+
+    @pandas_udf(DoubleType())
+    def f(x: pd.Series, y: pd.Series) -> pd.Series:
+        m = Matcher(threshold)
+        may = close_letters(x.fillna("").tolist(), y.fillna("").tolist(), threshold) & x.notna().to_numpy() & y.notna().to_numpy()
+        out = [None] * len(x)
+        for k, ok in enumerate(may.tolist()):
+            if ok:
+                m.set(y.iloc[k])
+                out[k] = m.ratio(x.iloc[k])
+        return pd.Series(out, dtype="float64")
+
+    return f(col(a), col(b))
+
+
 def ratio_bound(a, b) -> Column:
     """A bound on ``ratio`` from the lengths alone, for use before it."""
     la, lb = F.length(col(a)), F.length(col(b))

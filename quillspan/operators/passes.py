@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from quillspan.functions import scan
 from quillspan.functions.text import count_tokens, normalize
-from quillspan.functions.unicode import ratio, ratio_bound
+from quillspan.functions.unicode import ratio_at_least, ratio_bound
 from quillspan.operators.similar import similar_pairs
 from quillspan.plans.blocks import rank_in_groups
 from quillspan.plans.leaders import leaders
@@ -237,8 +237,8 @@ def repeated_turns(df: DataFrame, least: float = TURN_SIMILARITY) -> DataFrame:
     ranked = rank_in_groups(df, ["conv_id"], "turn", "pos").withColumn("norm", normalize("content"))
     after = ranked.select("conv_id", (F.col("pos") - 1).alias("pos"), F.col("norm").alias("next"))
     both = ranked.join(after, ["conv_id", "pos"], "left")
-    close = F.when((F.col("norm") != "") & (F.col("next") != "") & (ratio_bound("norm", "next") >= least), ratio("norm", "next"))
-    return both.withColumn("near", close).where(F.coalesce(F.col("near") < least, F.lit(True))).drop("near", "norm", "next", "pos")
+    close = F.when((F.col("norm") != "") & (F.col("next") != "") & (ratio_bound("norm", "next") >= least), ratio_at_least("norm", "next", least))
+    return both.withColumn("near", close).where("near IS NULL").drop("near", "norm", "next", "pos")
 
 
 # --- all passes ----------------------------------------------------------------------------------------------------
