@@ -166,6 +166,33 @@ SELECT export_id AS file_id, conv_no, session, CAST(row_number() OVER (PARTITION
 )
 
 
+_BRANCHES = (
+    _docs(0)
+    + f""",
+kx AS (SELECT export_id, conv_no, c, mp, unnest(range(len(ks))) AS i, unnest(ks) AS k FROM (SELECT *, json_keys(mp) AS ks FROM co WHERE json_type(mp) = 'OBJECT')),
+nx AS (SELECT export_id, conv_no, i, k, json_extract(mp, '$."' || k || '"') AS n, c ->> 'current_node' AS cur, c ->> 'title' AS session FROM kx),
+gu AS (SELECT export_id, conv_no, k, true AS u FROM nx WHERE k = cur),
+gr AS (SELECT export_id, conv_no, arg_min(k, i) AS k, false AS u FROM nx WHERE coalesce(n ->> 'parent', '') = '' GROUP BY export_id, conv_no),
+gs AS (SELECT * FROM gu UNION ALL SELECT gr.* FROM gr WHERE NOT EXISTS (SELECT 1 FROM gu WHERE gu.export_id = gr.export_id AND gu.conv_no = gr.conv_no)),
+wk AS (
+  SELECT export_id, conv_no, k, u, 0 AS p, [k] AS seen FROM gs
+  UNION ALL
+  SELECT w.export_id, w.conv_no, t.k, w.u, w.p + 1, list_append(w.seen, t.k) FROM wk w
+  JOIN nx a ON a.export_id = w.export_id AND a.conv_no = w.conv_no AND a.k = w.k
+  JOIN nx t ON t.export_id = w.export_id AND t.conv_no = w.conv_no AND t.k = CASE WHEN w.u THEN a.n ->> 'parent' ELSE json_extract_string(a.n, '$.children[#-1]') END
+  WHERE NOT list_contains(w.seen, t.k)),
+bm AS (SELECT w.export_id, w.conv_no, nx.session, CASE WHEN w.u THEN -w.p ELSE w.p END AS pos, nx.n -> 'message' AS m FROM wk w JOIN nx ON nx.export_id = w.export_id AND nx.conv_no = w.conv_no AND nx.k = w.k),
+bt AS (SELECT *, CASE lower(m -> 'author' ->> 'role') WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'assistant' END AS role, m -> 'content' ->> 'content_type' AS kind, TRY_CAST(m ->> 'create_time' AS DOUBLE) AS ct FROM bm WHERE json_type(m) = 'OBJECT'),
+bx AS (SELECT *, CASE WHEN kind IN ('text', 'multimodal_text') AND json_type(m -> 'content' -> 'parts') = 'ARRAY'
+      THEN array_to_string(list_filter(list_transform(from_json(m -> 'content' -> 'parts', '["JSON"]'), lambda p: CASE WHEN json_type(p) = 'VARCHAR' THEN p ->> '$' END), lambda p: p IS NOT NULL), E'\\n')
+    WHEN kind = 'code' THEN '```' || coalesce(m -> 'content' ->> 'language', '') || E'\\n' || nullif(m -> 'content' ->> 'text', '') || E'\\n```' END AS body FROM bt
+  WHERE coalesce(m -> 'metadata' ->> 'is_visually_hidden_from_conversation', 'false') <> 'true'),
+by_ AS (SELECT *, {_trim('body')} AS content FROM bx WHERE role IS NOT NULL)
+SELECT export_id AS file_id, conv_no, session, CAST(row_number() OVER (PARTITION BY export_id, conv_no ORDER BY pos) - 1 AS INTEGER) AS turn, role, content,
+  CASE WHEN ct <> 0 THEN strftime(to_timestamp(floor(ct)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS "timestamp" FROM by_ WHERE content <> ''"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     from quillspan.plans.queries_text import _T
 
@@ -175,6 +202,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT DISTINCT co.export_id, co.conv_no, CASE WHEN json_type(mp) = 'OBJECT' THEN 'mapping' WHEN json_type(c -> 'chat_messages') = 'ARRAY' THEN 'chat_messages' WHEN json_type(c -> 'messages') = 'ARRAY' THEN 'messages' ELSE '' END AS layout,
   coalesce(c ->> 'title', c ->> 'name') AS title, c ->> 'current_node' AS current_node, CAST(coalesce(k.n, 0) AS INTEGER) AS n_messages FROM co LEFT JOIN k ON k.export_id = co.export_id AND k.conv_no = co.conv_no""",
         "claude_turns": _CLAUDE,
+        "chatgpt_turns": _BRANCHES,
         "speaker_turns": _SPEAKERS,
         "copilot_turns": _COPILOT_TURNS,
         "plain_turns": _PLAIN,
