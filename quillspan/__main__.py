@@ -28,7 +28,8 @@ def main(argv: list[str] | None = None) -> None:
         for r in pipeline.parse_only(spark, a.input).toLocalIterator():
             print(r.json)
     elif a.action == "optimize":
-        pipeline.optimize_only(spark, a.input, settings)[1].show(1000, False)
+        for df in pipeline.optimize_only(spark, a.input, settings)[1:]:
+            df.show(1000, False)
     elif a.action == "status":
         from quillspan.operators.manifest import status
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.text import concept_phrases, tags_of, transcript
 from quillspan.functions.unicode import kebab_case, link_target_keys
-from quillspan.operators import chunks, linking, manifest, notes, passes
+from quillspan.operators import chunks, layout, linking, manifest, notes, passes
 from quillspan.plans.blocks import rank_in_groups
 from quillspan.session import cut
 from quillspan.sources import documents, files, sinks
@@ -34,13 +34,28 @@ class Settings:
 
 
 def inputs(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as (file_id, name, content, content_sha): ids by the order of paths, office documents as text."""
+    """Files of a folder as (file_id, name, content, content_sha, error, image_only_pct): office documents and PDFs as
+    text; a file that cannot be read has no content but its error, and a PDF mostly of images has their percentage."""
     raw = files.list_inputs(spark, path).withColumn("content_sha", F.sha2("content", 256))
     ids = raw.select("path", F.xxhash64("path").alias("file_id"))
     named = raw.join(ids, "path").select("file_id", F.substring_index("path", "/", -1).alias("name"), "content", "content_sha")
-    plain = named.where(~F.lower("name").rlike(r"\.(docx|pdf)$")).select("file_id", "name", files.decode("content").alias("content"), "content_sha")
-    docx = documents.docx_files(named.where(F.lower("name").endswith(".docx"))).where("error IS NULL").join(named.select("file_id", "content_sha"), "file_id")
-    return plain.unionByName(docx.select("file_id", "name", "content", "content_sha"))
+    none = {"error": F.lit(None).cast("string"), "image_only_pct": F.lit(None).cast("int")}
+    plain = named.where(~F.lower("name").rlike(r"\.(docx|pdf)$")).select("file_id", "name", files.decode("content").alias("content"), "content_sha").withColumns(none)
+    shas = named.select("file_id", "content_sha")
+    docx = documents.docx_files(named.where(F.lower("name").endswith(".docx"))).join(shas, "file_id").withColumn("image_only_pct", none["image_only_pct"])
+    pdf = named.where(F.lower("name").endswith(".pdf"))
+    pages = cut(documents.pdf_pages(pdf.select(F.col("file_id").cast("string").alias("name"), "content")))
+    read = pages.where("error IS NULL")
+    text = documents.joined_pages(layout.strip_page_edges(read.select("file", "page_no", "lines", "tables"))).withColumnRenamed("name", "file")
+    heavy = layout.page_stats(read).where("image_heavy").select("file", "image_only_pct")
+    errors = pages.where("error IS NOT NULL").select("file", "error")
+    told = pdf.select(F.col("file_id").cast("string").alias("file"), "file_id", "name", "content_sha").join(text, "file", "left").join(errors, "file", "left").join(heavy, "file", "left").drop("file")
+    return plain.unionByName(docx).unionByName(told)
+
+
+def failed(every: DataFrame) -> DataFrame:
+    """The inputs that could not be read, with their errors."""
+    return every.where("error IS NOT NULL").select("file_id", "name", "content_sha", "error")
 
 
 def conversations(spark: SparkSession, parsed: DataFrame) -> DataFrame:
@@ -50,14 +65,16 @@ def conversations(spark: SparkSession, parsed: DataFrame) -> DataFrame:
 
 
 def parse_only(spark: SparkSession, path: str) -> DataFrame:
-    """Turns as JSON, one per row."""
-    return sinks.as_json(files.parse_files(inputs(spark, path)))
+    """Turns as JSON, one per row; behind them a row (file_id, name, content_sha, error) for each unreadable file."""
+    every = cut(inputs(spark, path))
+    return sinks.as_json(files.parse_files(every.select("file_id", "name", "content"))).unionByName(sinks.as_json(failed(every)))
 
 
-def optimize_only(spark: SparkSession, path: str, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """Cleaned turns and the report."""
+def optimize_only(spark: SparkSession, path: str, settings: Settings | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cleaned turns, the report and the unreadable files."""
     s = settings or Settings()
-    return passes.optimize(conversations(spark, files.parse_files(inputs(spark, path))), s.clean)
+    every = cut(inputs(spark, path))
+    return *passes.optimize(conversations(spark, files.parse_files(every.select("file_id", "name", "content"))), s.clean), failed(every)
 
 
 def link_rows(ns: DataFrame, session: str, new: bool) -> DataFrame:
@@ -91,6 +108,9 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     found = found.withColumn("note_no", (F.col("chunk_no") * 100_000 + F.col("block_no")).cast("bigint"))
     index = notes.is_index("title", "type")
     kept, _ = notes.merge(found.where(~index), "conv_id", "note_no")
+    heavy = fresh.where("image_only_pct IS NOT NULL").select("file_id", F.format_string("\"Source PDF was %d%% image-only — visual content not captured\"", "image_only_pct").alias("warning"))
+    warned = F.map_concat(F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: k != "extraction_warning"), F.create_map(F.lit("extraction_warning"), F.col("warning")))
+    kept = kept.join(heavy, "file_id", "left").withColumn("extra", F.when(F.col("warning").isNotNull(), warned).otherwise(F.col("extra"))).drop("warning")
     prov = {"source_session": F.col("conv_id"), "source_file": F.col("file_id").cast("string"), "created": F.lit(s.run_date)}
     kept = cut(notes.normalise(kept, prov).withColumn("id", F.xxhash64("conv_id", "note_no")).withColumn("path", F.col("title")))
     old = cut(files.vault_index(files.read_vault(spark, vault)).withColumn("id", F.xxhash64("path")).withColumn("new", F.lit(False)))
@@ -111,10 +131,11 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     written = cut(sinks.write_notes(named.withColumn("document", notes.render(named, fields)).select("domain", "file_name", "document"), out, s.dry_run))
     changed = cut(sinks.write_back_links(back, dry_run=s.dry_run))
     dangling = linking.dangling(named.select("id", "title", "slug", "body", "related", "cross_links"))
-    done = every.join(fresh.select("file_id").distinct(), "file_id", "left_semi")
+    # what could not be read is not done: the next run takes it again
+    done = every.where("error IS NULL").join(fresh.select("file_id").distinct(), "file_id", "left_semi")
     counts = named.groupBy("file_id").agg(F.count("*").cast("int").alias("notes_generated"))
     entries = done.join(counts, "file_id", "left").select("content_sha", F.col("name").alias("input_file"), F.lit(s.run_date).alias("processed_date"), F.coalesce("notes_generated", F.lit(0)).alias("notes_generated"))
-    return {"report": report, "notes": named, "written": written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "manifest": entries}
+    return {"report": report, "notes": named, "written": written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "manifest": entries, "failed": failed(fresh)}
 
 
 def relink(spark: SparkSession, vault: str, settings: Settings | None = None) -> DataFrame:

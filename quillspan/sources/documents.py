@@ -93,38 +93,49 @@ def docx_files(files: DataFrame) -> DataFrame:
     return files.select("file_id", "name", f("content").alias("r")).select("file_id", "name", F.col("r.text").alias("content"), "r.error")
 
 
+def _page(n: int, page) -> tuple:
+    try:
+        tables = page.find_tables()
+    except Exception:  # a page whose tables cannot be told is read as text
+        tables = []
+    boxes = [t.bbox for t in tables]
+
+    def outside(o):
+        x, y = (o["x0"] + o["x1"]) / 2, (o["top"] + o["bottom"]) / 2
+        return not any(a <= x <= c and b <= y <= d for a, b, c, d in boxes)
+
+    whole = page.extract_text() or ""
+    if boxes:
+        text = page.filter(outside).extract_text() or ""
+    elif gutter([(w["x0"], w["x1"]) for w in page.extract_words()], float(page.width)):
+        half = page.width / 2
+        sides = (page.crop((0, 0, half, page.height)), page.crop((half, 0, page.width, page.height)))
+        text = "\n".join((s.extract_text() or "").strip() for s in sides).strip()
+    else:
+        text = whole
+    md = [x for x in (table_text(t.extract()) for t in tables) if x]
+    return n, whole, len(page.images), [x.rstrip() for x in text.splitlines()], md
+
+
 def pdf_pages(files: DataFrame) -> DataFrame:
-    """(file, page_no, text, n_images, lines, tables) of .pdf files (file_id, name, content binary); needs the optional
-    package ``pdfplumber``. Text inside tables is left to the tables; two columns are read one after the other."""
+    """(file, page_no, text, n_images, lines, tables, error) of .pdf files (file_id, name, content binary); needs the
+    optional package ``pdfplumber``. Text inside tables is left to the tables; two columns are read one after the
+    other. A file that cannot be read gives one row with its error and no page."""
 
     def go(batches):
-        import pdfplumber
-
         for pdf in batches:
             rows = []
             for name, data in zip(pdf.name, pdf.content):
-                with pdfplumber.open(io.BytesIO(bytes(data))) as doc:
-                    for n, page in enumerate(doc.pages, 1):
-                        tables = page.find_tables()
-                        boxes = [t.bbox for t in tables]
-
-                        def outside(o, boxes=boxes):
-                            x, y = (o["x0"] + o["x1"]) / 2, (o["top"] + o["bottom"]) / 2
-                            return not any(a <= x <= c and b <= y <= d for a, b, c, d in boxes)
-
-                        if boxes:
-                            text = page.filter(outside).extract_text() or ""
-                        elif gutter([(w["x0"], w["x1"]) for w in page.extract_words()], float(page.width)):
-                            half = page.width / 2
-                            sides = (page.crop((0, 0, half, page.height)), page.crop((half, 0, page.width, page.height)))
-                            text = "\n".join((s.extract_text() or "").strip() for s in sides).strip()
-                        else:
-                            text = page.extract_text() or ""
-                        md = [x for x in (table_text(t.extract()) for t in tables) if x]
-                        rows.append((name, n, page.extract_text() or "", len(page.images), [x.rstrip() for x in text.splitlines()], md))
-            yield pd.DataFrame(rows, columns=["file", "page_no", "text", "n_images", "lines", "tables"])
-
-    return files.select("name", "content").mapInPandas(go, "file string, page_no int, text string, n_images int, lines array<string>, tables array<string>")
+                try:
+                    import pdfplumber
+
+                    with pdfplumber.open(io.BytesIO(bytes(data))) as doc:
+                        rows += [(name, *_page(n, page), None) for n, page in enumerate(doc.pages, 1)]
+                except Exception as e:
+                    rows = [r for r in rows if r[0] != name] + [(name, None, None, None, None, None, f"not a readable pdf file: {type(e).__name__}: {e}"[:500])]
+            yield pd.DataFrame(rows, columns=["file", "page_no", "text", "n_images", "lines", "tables", "error"]).astype({"page_no": "Int32", "n_images": "Int32"})
+
+    return files.select("name", "content").mapInPandas(go, "file string, page_no int, text string, n_images int, lines array<string>, tables array<string>, error string")
 
 
 def gutter(words: list[tuple[float, float]], width: float) -> bool:
