@@ -3,8 +3,10 @@
 A classifier (multinomial naive Bayes over hashed token ids) is trained on a bounded sample of labelled documents and
 gives each document a posterior over the wanted sources; the label takes ``LABEL_TRUST`` of the membership. Document
 rates (how often a document is taken, 0 to the cap of its source) then solve a nonnegative least squares problem: the
-expected token totals of the sources match their target shares of the total. It is solved by projected gradient steps
-over all documents, pre-aggregated by label and rounded membership; each step sends one vector to the driver.
+expected token totals of the sources match their target shares of the total. Of all rates that do so equally well the
+ones nearest to 1 are taken (a penalty of weight ``PENALTY``); these follow from one price per source, which is found by
+Newton steps over all documents, pre-aggregated by label and rounded membership, until the gradient of each source is
+below ``TOLERANCE`` of the total. Each step sends a few matrices of the size of the sources to the driver.
 
 Sizes are tokens of a public tokenizer, counted over whole texts of all documents.
 
@@ -15,6 +17,7 @@ NULL text has no tokens; a wanted source without documents has size 0; repeated
 from __future__ import annotations
 
 import base64
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -29,9 +32,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Labelled rows that train the classifier, about; buckets that token ids are hashed into.
 TRAIN_ROWS, BUCKETS = 10_000, 2048
 LABEL_TRUST = 0.9
-#: Decimals that memberships are rounded to before documents are grouped; gradient steps at most.
-DECIMALS, STEPS = 2, 40
-TOLERANCE = 1e-4
+#: Decimals that memberships are rounded to before documents are grouped.
+DECIMALS = 2
+#: Weight of the distance of rates from 1, at first and at last; the bound on each source's gradient, as a share of the
+#: total; lengths tried for a step; steps after which the fit is given up and reported as not converged.
+PENALTY, TOLERANCE, LENGTHS, STEPS = (1e-2, 1e-6), 1e-10, 2.0 ** -np.arange(8), 400
 
 _encoders: dict = {}
 
@@ -106,58 +111,65 @@ def members(docs: DataFrame, weights: np.ndarray, k: int, path: str, trust: floa
     return docs.mapInPandas(go, "doc_id bigint, label int, tokens bigint, q array<double>").dropDuplicates(["doc_id"])
 
 
-def _replay(q: np.ndarray, cap: np.ndarray, history: list[np.ndarray], step: float) -> np.ndarray:
-    """Rates after the steps so far; a rate follows from the residuals alone, so none is ever stored."""
-    r = np.minimum(1.0, cap)
-    for residual in history:
-        r = np.clip(r - step * (q @ residual), 0.0, cap)
-    return r
+def _rates(q: np.ndarray, cap: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """Rates at the given prices; a rate follows from the prices alone, so none is ever stored."""
+    return np.clip(1.0 - q @ prices, 0.0, cap)
 
 
-def fit(groups: DataFrame, caps: list[int], target: np.ndarray, steps: int = STEPS) -> tuple[list[np.ndarray], float]:
-    """Residual history and step of the projected gradient over (label, q, tokens); see ``_replay`` for the rates."""
+def fit(groups: DataFrame, caps: list[int], target: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, bool]:
+    """Prices of the sources over (label, q, tokens), see ``_rates``, and whether they converged.
+
+    The penalty falls tenfold from one value to the next, each starting from the prices before; at each the prices
+    minimise a convex function of as many variables as there are sources, whose gradient is target + penalty * prices -
+    totals. Few large sources and many small ones make no difference to a Newton step."""
     k, cap_of = len(caps), np.array(caps, dtype=float)
+    cells = 1 + k + k * k
 
-    def moments(batches):
-        g = np.zeros((k, k))
-        for pdf in batches:
-            if len(pdf):
-                q = np.vstack(pdf.q.to_list())
-                g += q.T @ (q * pdf.tokens.to_numpy()[:, None])
-        yield pd.DataFrame({"cell": np.arange(k * k), "v": g.ravel()})
+    total = groups.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return np.zeros(k), True
+
+    def sums(points):
+        """For each point: value, totals and curvature, in one pass."""
 
-    def totals(history, step):
         def go(batches):
-            s = np.zeros(k)
+            out = np.zeros((len(points), cells))
             for pdf in batches:
                 if len(pdf):
-                    q = np.vstack(pdf.q.to_list())
-                    s += (_replay(q, cap_of[pdf.label.to_numpy()], history, step) * pdf.tokens.to_numpy()) @ q
-            yield pd.DataFrame({"cell": np.arange(k), "v": s})
-
-        return go
-
-    def summed(f, n):
-        out = np.zeros(n)
-        for r in groups.mapInPandas(f, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect():  # n cells
-            out[r.cell] = r.v
-        return out
-
-    total = groups.agg(F.sum("tokens")).first()[0] or 0
-    if not total:
-        return [], 0.0
-    gram = summed(moments, k * k).reshape(k, k) / total
-    step = 1.0 / max(float(np.linalg.eigvalsh((gram + gram.T) / 2)[-1]), 1e-12)
-    history: list[np.ndarray] = []
-    last = np.inf
+                    q, cap, w = np.vstack(pdf.q.to_list()), cap_of[pdf.label.to_numpy()], pdf.tokens.to_numpy() / total
+                    for n, z in enumerate(points):
+                        u, r = q @ z, _rates(q, cap, z)
+                        free = (1.0 - u > 0.0) & (1.0 - u < cap)
+                        out[n, 0] += w @ (0.5 * (r - 1.0) ** 2 + u * r)
+                        out[n, 1 : k + 1] += (w * r) @ q
+                        out[n, k + 1 :] += ((q * (w * free)[:, None]).T @ q).ravel()
+            yield pd.DataFrame({"cell": np.arange(out.size), "v": out.ravel()})
+
+        got = np.zeros(len(points) * cells)
+        for r in groups.mapInPandas(go, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toLocalIterator():  # few cells
+            got[r.cell] = r.v
+        return got.reshape(len(points), cells)
+
+    def local(z, row, penalty):
+        gradient = target + penalty * z - row[1 : k + 1]
+        return target @ z + penalty / 2 * (z @ z) - row[0], gradient, row[k + 1 :].reshape(k, k) + penalty * np.eye(k)
+
+    z, penalty = np.zeros(k), PENALTY[0]
+    row = sums([z])[0]
     for _ in range(steps):
-        residual = summed(totals(history, step), k) / total - target
-        loss = float(residual @ residual)
-        if last - loss < TOLERANCE * max(last, 1e-12) and np.isfinite(last):
-            break
-        history.append(residual)
-        last = loss
-    return history, step
+        value, gradient, curve = local(z, row, penalty)
+        while np.abs(gradient).max() < TOLERANCE:
+            if penalty <= PENALTY[1] * 1.001:
+                return z, True
+            penalty /= 10
+            value, gradient, curve = local(z, row, penalty)
+        way = -np.linalg.solve(curve, gradient)
+        points = [z + a * way for a in LENGTHS]
+        tried = sums(points)
+        values = [local(p, t, penalty)[0] for p, t in zip(points, tried)]
+        best = 0 if values[0] <= value + 1e-4 * (gradient @ way) else int(np.argmin(values))
+        z, row = points[best], tried[best]
+    return z, False
 
 
 class Mixture:
@@ -172,14 +184,16 @@ class Mixture:
         weights = train(docs, k, path) if k else np.zeros((BUCKETS + 1, 0))
         self.members = cut(members(docs, weights, k, path))
         self.groups = cut(self.members.groupBy("label", "q").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
-        self.history, self.step = fit(self.groups, self.caps, np.array([w for _, w, _ in self.sources]))
+        self.prices, self.converged = fit(self.groups, self.caps, np.array([w for _, w, _ in self.sources]))
+        if not self.converged:
+            warnings.warn("the fit of the mixture did not converge; its rates miss targets that could be met", stacklevel=2)
 
     def _rated(self, df: DataFrame) -> DataFrame:
-        caps, history, step = np.array(self.caps, dtype=float), self.history, self.step
+        caps, prices = np.array(self.caps, dtype=float), self.prices
 
         def go(batches):
             for pdf in batches:
-                rate = _replay(np.vstack(pdf.q.to_list()), caps[pdf.label.to_numpy()], history, step) if len(pdf) else []
+                rate = _rates(np.vstack(pdf.q.to_list()), caps[pdf.label.to_numpy()], prices) if len(pdf) else []
                 yield pdf.assign(rate=rate)
 
         return df.mapInPandas(go, ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", rate double")
@@ -195,7 +209,7 @@ class Mixture:
 
     def report(self) -> DataFrame:
         """One row per wanted source: size, target, what its documents reach at their rates, and ``short``: even
-        ``max_repeats`` copies of all its documents stay below its share of the total."""
+        ``max_repeats`` copies of all its documents stay below its share of the total; ``converged`` is the fit's."""
         got = self._rated(self.groups).groupBy("label").agg(
             F.sum("tokens").alias("size_tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("taken_tokens"), F.sum("n").alias("n_docs")
         )
@@ -209,4 +223,5 @@ class Mixture:
             "source", "target_share", "max_repeats", "n_docs", "size_tokens", F.lit(total).cast("bigint").alias("total_tokens"),
             (F.col("taken_tokens") / F.lit(taken) if taken else F.lit(0.0)).alias("actual_share"),
             (F.col("max_repeats") * F.col("size_tokens") < F.col("target_share") * F.col("total_tokens")).alias("short"),
+            F.lit(self.converged).alias("converged"),
         )

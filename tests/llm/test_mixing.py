@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from quillspan.llm import mixing
 
 D, M = "doc_id bigint, text string, source string, label string, tokens string, q string", "source string, target_share double, max_repeats int"
@@ -31,3 +33,19 @@ def test_empty_tables(spark):
     r = mixing.Mixture(docs, t).report().first()
     assert (r.size_tokens, r.actual_share, r.short) == (0, 0.0, False)
     assert mixing.Mixture(docs, t.limit(0)).report().count() == 0
+
+
+def test_small_sources_reach_their_share(spark):
+    words = {"aa": "alpha beta gamma", "bb": "delta omega kappa", "cc": "theta zeta eta", "dd": "iota lambda sigma", "ee": "walnut violin granary"}
+    many = {"aa": 140, "bb": 128, "cc": 128, "dd": 4}
+    rows = lambda n: [(i, f"{words[s]} " * 20, s, None, None, None) for i, s in enumerate(s for s in n for _ in range(n[s]))]
+    targets = [("aa", 0.35, 10), ("bb", 0.3, 10), ("cc", 0.3, 10), ("dd", 0.05, 10)]
+    m = mixing.Mixture(spark.createDataFrame(rows(many), D), spark.createDataFrame(targets, M))
+    rep = {r.source: r for r in m.report().collect()}
+    assert all(abs(rep[s].actual_share - w) < 0.001 for s, w, _ in targets) and not rep["dd"].short
+    assert m.converged and all(r.converged for r in rep.values())
+    # a source that can never reach its share leaves the proportions of the others alone
+    targets = [("aa", 0.3, 10), ("bb", 0.2, 10), ("cc", 0.2, 10), ("dd", 0.05, 10), ("ee", 0.25, 1)]
+    rep = {r.source: r for r in mixing.Mixture(spark.createDataFrame(rows(many | {"ee": 4}), D), spark.createDataFrame(targets, M)).report().collect()}
+    assert rep["ee"].short and all(abs(rep[s].actual_share / rep["aa"].actual_share - w / 0.3) < 0.01 for s, w, _ in targets[1:4])
+    assert not mixing.fit(m.groups, m.caps, np.array([0.35, 0.3, 0.3, 0.05]), steps=1)[1]
