@@ -7,13 +7,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import concept_phrases, tags_of, transcript
+from quillspan.functions.text import concept_phrases, strip, tags_of, transcript
 from quillspan.functions.unicode import kebab_case, link_target_keys
 from quillspan.operators import chunks, layout, linking, manifest, notes, passes
 from quillspan.plans.blocks import rank_in_groups
 from quillspan.session import cut
 from quillspan.sources import documents, files, sinks
 
+#: Place of a built index note in its conversation: behind all others.
+INDEX_NO = 2**62
+BANNER = "> ⚠ This source PDF was %d%% image-only. Notes below reflect\n> only the extractable text. Visual content (diagrams, photos,\n> scanned pages) was not captured."
+
 
 @dataclass
 class Settings:
@@ -86,6 +90,46 @@ def link_rows(ns: DataFrame, session: str, new: bool) -> DataFrame:
     )
 
 
+def settled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, index notes) of parsed notes with ``n_chunks`` of their conversation: notes of several chunks are merged;
+    an index note is the last one of a single chunk, else it is built over the notes that stay."""
+    is_index, many = notes.is_index("title", "type"), F.col("n_chunks") > 1
+    atoms, indexes = found.where(~is_index), found.where(is_index)
+    merged, _ = notes.merge(atoms.where(many), "conv_id", "note_no")
+    atoms = cut(merged.unionByName(atoms.where(~many)))
+    last = indexes.where(~many).groupBy("conv_id").agg(F.max("note_no").alias("note_no"))
+    own = indexes.join(last, ["conv_id", "note_no"], "left_semi")
+    value = F.col("extra")["detected_client"]
+    client = strip(F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
+    told = indexes.where((client != "") & ~value.isin("false", "0", "[]", "{}")).groupBy("conv_id").agg(F.min_by(client, "note_no").alias("client"))
+    plain = atoms.withColumns({"type": F.coalesce("type", F.lit("atomic-note")), "source_domain": F.coalesce("source_domain", F.lit("general"))})
+    built = notes.index_note(plain.join(last, "conv_id", "left_anti"), "conv_id", "note_no")
+    built = built.join(found.groupBy("conv_id").agg(F.first("file_id").alias("file_id")), "conv_id").join(told, "conv_id", "left")
+    extra = F.when(F.col("client").isNotNull(), F.create_map(F.lit("detected_client"), F.regexp_replace(F.to_json(F.array("client")), r"^\[|\]$", "")))
+    none = F.array().cast("array<string>")
+    built = built.select(
+        "conv_id", "file_id", F.lit(INDEX_NO).alias("note_no"), "title", F.lit("moc").alias("type"), F.lit("general").alias("source_domain"), F.lit("high").alias("confidence"),
+        F.lit("active").alias("status"), F.array(F.lit("moc"), F.lit("index")).alias("tags"), none.alias("related"), none.alias("cross_links"), extra.alias("extra"), "body",
+    )
+    return atoms, own.select(*built.columns).unionByName(built)
+
+
+def stamped(ns: DataFrame, pct: DataFrame, run_date: str) -> DataFrame:
+    """Notes normalised, with provenance, an id, and the warning of PDFs mostly of images (file_id, image_only_pct)."""
+    warning = F.format_string('"Source PDF was %d%% image-only — visual content not captured"', "image_only_pct")
+    others = F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: k != "extraction_warning")
+    image = F.col("image_only_pct").isNotNull()
+    ns = ns.join(pct, "file_id", "left").withColumn("extra", F.when(image, F.map_concat(others, F.create_map(F.lit("extraction_warning"), warning))).otherwise(F.col("extra")))
+    if "is_index" in ns.columns:
+        quote = F.format_string(BANNER, "image_only_pct")
+        head, rest = F.regexp_extract("body", r"(?s)^([^\n]*)\n*(.*)$", 1), F.regexp_extract("body", r"(?s)^([^\n]*)\n*(.*)$", 2)
+        banner = F.when(F.ltrim(head).startswith("#"), F.concat_ws("\n\n", head, quote, rest)).otherwise(F.concat_ws("\n\n", quote, "body"))
+        ns = ns.withColumn("body", F.when(image, banner).otherwise(F.col("body"))).drop("is_index")
+    prov = {"source_session": F.col("conv_id"), "source_file": F.col("file_id").cast("string"), "created": F.lit(run_date)}
+    ns = notes.normalise(ns.drop("image_only_pct"), prov)
+    return cut(ns.withColumn("id", F.xxhash64("conv_id", "note_no")).withColumn("path", F.col("title")))
+
+
 def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame | None = None, settings: Settings | None = None) -> dict[str, DataFrame]:
     """From files to written, linked notes.
 
@@ -106,13 +150,10 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     raw = cut(notes.extract(asked, s.complete, "system", "user"))
     found = notes.parse(notes.blocks(raw.select("conv_id", "chunk_no", "file_id", "text"), "text"))
     found = found.withColumn("note_no", (F.col("chunk_no") * 100_000 + F.col("block_no")).cast("bigint"))
-    index = notes.is_index("title", "type")
-    kept, _ = notes.merge(found.where(~index), "conv_id", "note_no")
-    heavy = fresh.where("image_only_pct IS NOT NULL").select("file_id", F.format_string("\"Source PDF was %d%% image-only — visual content not captured\"", "image_only_pct").alias("warning"))
-    warned = F.map_concat(F.map_filter(F.coalesce("extra", F.create_map().cast("map<string,string>")), lambda k, _: k != "extraction_warning"), F.create_map(F.lit("extraction_warning"), F.col("warning")))
-    kept = kept.join(heavy, "file_id", "left").withColumn("extra", F.when(F.col("warning").isNotNull(), warned).otherwise(F.col("extra"))).drop("warning")
-    prov = {"source_session": F.col("conv_id"), "source_file": F.col("file_id").cast("string"), "created": F.lit(s.run_date)}
-    kept = cut(notes.normalise(kept, prov).withColumn("id", F.xxhash64("conv_id", "note_no")).withColumn("path", F.col("title")))
+    found = cut(found.join(parts.groupBy("conv_id").agg(F.count("*").alias("n_chunks")), "conv_id"))
+    kept, index = settled(found)
+    pct = fresh.where("image_only_pct IS NOT NULL").select("file_id", "image_only_pct")
+    kept, index = (stamped(x, pct, s.run_date) for x in (kept, index.withColumn("is_index", F.lit(True))))
     old = cut(files.vault_index(files.read_vault(spark, vault)).withColumn("id", F.xxhash64("path")).withColumn("new", F.lit(False)))
     mine = cut(link_rows(kept, "source_session", True))
     forward = cut(linking.forward_links(linking.top(linking.candidates(mine, old), old, s.max_links), old))
@@ -129,13 +170,17 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     named = notes.names(linked.withColumn("domain", F.col("source_domain")), "domain", ["conv_id", "note_no"])
     fields = ["type", "source_session", "source_file", "source_domain", "created", "confidence", "tags", "related", "status", "cross_links"]
     written = cut(sinks.write_notes(named.withColumn("document", notes.render(named, fields)).select("domain", "file_name", "document"), out, s.dry_run))
+    # after the notes, so that those take their names first; index notes are neither linked nor link targets
+    index = notes.names(index.withColumn("domain", F.col("source_domain")), "domain", ["conv_id", "note_no"])
+    index_written = cut(sinks.write_notes(index.withColumn("document", notes.render(index, fields)).select("domain", "file_name", "document"), out, s.dry_run))
     changed = cut(sinks.write_back_links(back, dry_run=s.dry_run))
-    dangling = linking.dangling(named.select("id", "title", "slug", "body", "related", "cross_links"))
+    linked_by = ["id", "title", "slug", "body", "related", "cross_links"]
+    dangling = linking.dangling(named.select(*linked_by).unionByName(index.select(*linked_by)))
     # what could not be read is not done: the next run takes it again
     done = every.where("error IS NULL").join(fresh.select("file_id").distinct(), "file_id", "left_semi")
-    counts = named.groupBy("file_id").agg(F.count("*").cast("int").alias("notes_generated"))
+    counts = named.select("file_id").unionByName(index.select("file_id")).groupBy("file_id").agg(F.count("*").cast("int").alias("notes_generated"))
     entries = done.join(counts, "file_id", "left").select("content_sha", F.col("name").alias("input_file"), F.lit(s.run_date).alias("processed_date"), F.coalesce("notes_generated", F.lit(0)).alias("notes_generated"))
-    return {"report": report, "notes": named, "written": written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "manifest": entries, "failed": failed(fresh)}
+    return {"report": report, "notes": named, "written": written, "index": index, "index_written": index_written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "manifest": entries, "failed": failed(fresh)}
 
 
 def relink(spark: SparkSession, vault: str, settings: Settings | None = None) -> DataFrame:
