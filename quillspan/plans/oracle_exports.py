@@ -8,12 +8,12 @@ def _unwrap(x: str) -> str:
     return f"CASE WHEN json_valid({x}) AND json_type({x}) = 'VARCHAR' THEN {_CUT.replace('{x}', x + ' ->> ' + chr(39) + '$' + chr(39))} ELSE {x} END"
 
 
-def _docs(layers: int) -> str:
-    ctes = [f"u0 AS (SELECT DISTINCT export_id, {_CUT.replace('{x}', 'payload')} AS p FROM raw_exports WHERE payload IS NOT NULL)"]
-    ctes += [f"u{i + 1} AS (SELECT export_id, {_unwrap('p')} AS p FROM u{i})" for i in range(layers)]
+def _docs(wrapped: bool) -> str:
+    base = f"SELECT DISTINCT export_id, {_CUT.replace('{x}', 'payload')} AS p FROM raw_exports WHERE payload IS NOT NULL"
+    more = f" UNION ALL SELECT export_id, {_unwrap('p')} AS p FROM u WHERE json_valid(p) AND json_type(p) = 'VARCHAR'" if wrapped else ""
     return (
-        "WITH RECURSIVE " + ",\n".join(ctes) + f""",
-docs AS (SELECT export_id, CAST(p AS JSON) AS d FROM u{layers} WHERE json_valid(p)),
+        f"WITH RECURSIVE u AS ({base}{more})" + """,
+docs AS (SELECT export_id, CAST(p AS JSON) AS d FROM u WHERE json_valid(p)),
 cs AS (SELECT export_id, unnest(range(len(a))) AS conv_no, unnest(a) AS c FROM (SELECT export_id, CASE WHEN json_type(d) = 'ARRAY' THEN from_json(d, '["JSON"]') ELSE [d] END AS a FROM docs)),
 co AS (SELECT export_id, CAST(conv_no AS INTEGER) AS conv_no, c, c -> 'mapping' AS mp,
     CASE WHEN json_type(c -> 'chat_messages') = 'ARRAY' AND json_array_length(c -> 'chat_messages') > 0 THEN c -> 'chat_messages' WHEN json_type(c -> 'messages') = 'ARRAY' THEN c -> 'messages' END AS ls
@@ -41,7 +41,7 @@ pc AS (
     )
 
 
-_WRAPPED = _docs(3)
+_WRAPPED = _docs(True)
 _B = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _HTML = (
     r"(?i)</?(?:div|span|p|br|hr|b|i|em|strong|u|img|a|ul|ol|li|table|tr|td|th|thead|tbody|h[1-6]|blockquote|pre|details|summary|sup|sub|small|section|article|header|footer|nav|figure|figcaption)\b[^>]*/?>"
@@ -153,7 +153,7 @@ def _t(x: str) -> str:
 
 
 _CLAUDE = (
-    _docs(0)
+    _docs(False)
     + f""",
 cm AS (SELECT export_id, conv_no, c, unnest(range(len(a))) AS pos, unnest(a) AS m FROM (SELECT export_id, conv_no, c, from_json(ls, '["JSON"]') AS a FROM co WHERE ls IS NOT NULL)),
 ce AS (SELECT export_id, conv_no, pos, m, coalesce({_t("c -> 'name'")}, {_t("c -> 'title'")}) AS session, lower(trim(coalesce({_t("m -> 'sender'")}, {_t("m -> 'role'")}))) AS who,
@@ -167,7 +167,7 @@ SELECT export_id AS file_id, conv_no, session, CAST(row_number() OVER (PARTITION
 
 
 _BRANCHES = (
-    _docs(0)
+    _docs(False)
     + f""",
 kx AS (SELECT export_id, conv_no, c, mp, unnest(range(len(ks))) AS i, unnest(ks) AS k FROM (SELECT *, json_keys(mp) AS ks FROM co WHERE json_type(mp) = 'OBJECT')),
 nx AS (SELECT export_id, conv_no, i, k, json_extract(mp, '$."' || k || '"') AS n, c ->> 'current_node' AS cur, c ->> 'title' AS session FROM kx),
