@@ -3,6 +3,11 @@
 Records with equal sets form one class; only class representatives are banded, joined and verified. Value sets are
 cleaned first (NFC, trimmed, lower case, without leading ``#``, runs of blanks, ``-`` and ``_`` as one blank).
 
+A candidate pair is tested where the bands meet, by an exact bound on the overlap from 64-bit outlines of the two sets,
+so that hardly anything but true links leaves the join. Bands with many members are split: two sets can only be similar
+if they share one of the rarest values that each of them cannot do without, so the members of such a band meet under
+(band, such a value) instead. Neither step loses a link. Tables that grow are never broadcast.
+
 Defined results: of a repeated id the row with the latest time counts (NULL times first; ties: the greater set);
 NULL arrays, NULL and blank values are left out; sets below ``min_size`` take no part; a NULL id is a record of its own
 id value NULL and is dropped from pairs. Empty tables give empty results. Extra columns are ignored.
@@ -15,16 +20,20 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.llm.words import hash64, mix
+from quillspan.session import stored
 
 THRESHOLD, MIN_SIZE = 0.6, 3
 #: A pair at similarity 0.6 shares no band with probability (1 - 0.6 ** ROWS) ** BANDS, about 1e-4.
-ROWS, BANDS = 5, 114
-_PRIME = np.uint64((1 << 61) - 1)
+ROWS, BANDS = 3, 38
+#: Sets in one band from which the band is split by value.
+HOT = 64
+#: Values whose seeded hashes are computed at a time.
+CHUNK = 20_000
 
 _RUN = re.compile(r"[\s\-_]+")
 
@@ -34,102 +43,162 @@ def clean_value(x: str) -> str:
     return _RUN.sub(" ", x).strip()
 
 
-def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.RandomState(12345)
-    return rng.randint(1, 1 << 31, n).astype(np.uint64) | np.uint64(1), rng.randint(0, 1 << 62, n).astype(np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that each seeded hash orders values like a random permutation."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-
 class Signer:
-    """Minwise signatures; the seeded hashes of a value are kept for the values met most recently."""
-
-    def __init__(self, rows: int, bands: int, keep: int = 20000):
-        self.rows, self.bands, self.keep, self.seen = rows, bands, keep, {}
-        self.seeds = _coefficients(rows * bands)[1]
-        self.salt = _coefficients(bands)[1]
-        self.power = _coefficients(rows)[0]
-
-    def value(self, v: str) -> np.ndarray:
-        h = self.seen.get(v)
-        if h is None:
-            if len(self.seen) >= self.keep:
-                self.seen.clear()
-            x = np.uint64(int.from_bytes(hashlib.blake2b(v.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
-            h = self.seen[v] = _mix(self.seeds ^ x)
-        return h
-
-    def bands_of(self, values: list[str]) -> np.ndarray:
-        low = np.minimum.reduce([self.value(v) for v in values]).reshape(self.bands, self.rows)
-        with np.errstate(over="ignore"):
-            return _mix((low * self.power).sum(axis=1, dtype=np.uint64) ^ self.salt).view(np.int64)
+    """Minwise signatures and outlines of many sets at a time."""
+
+    def __init__(self, rows: int = ROWS, bands: int = BANDS):
+        rng = np.random.RandomState(12345)
+        self.rows, self.bands = rows, bands
+        self.seeds = rng.randint(0, 1 << 62, rows * bands).astype(np.uint64)
+        self.power = rng.randint(1, 1 << 31, rows).astype(np.uint64) | np.uint64(1)
+        self.salt = rng.randint(0, 1 << 62, bands).astype(np.uint64)
+
+    def bands_of(self, values: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Band hashes [set, band]; set i holds ``values[places[starts[i] : starts[i + 1]]]``, none is empty."""
+        out, first = np.empty((len(starts) - 1, self.bands), dtype=np.int64), 0
+        while first < len(out):  # as many sets at a time as hold CHUNK values, or a larger one alone
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + CHUNK, "right")) - 1)
+            part, cuts = places[starts[first] : starts[last]], starts[first:last] - starts[first]
+            if len(part) <= CHUNK:
+                low = self._lowest(values, part, cuts)
+            else:
+                low = np.minimum.reduce([self._lowest(values, part[i : i + CHUNK], cuts[:1]) for i in range(0, len(part), CHUNK)])
+            with np.errstate(over="ignore"):
+                low = (low.reshape(-1, self.bands, self.rows) * self.power).sum(axis=2, dtype=np.uint64)
+            out[first:last] = mix(low ^ self.salt).view(np.int64)
+            first = last
+        return out
+
+    def _lowest(self, values: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The least seeded hashes [set, hash] of sets that begin at ``starts`` in ``places``."""
+        met, back = np.unique(places, return_inverse=True)
+        return np.minimum.reduceat(mix(values[met][:, None] ^ self.seeds[None, :])[back], starts, axis=0)
+
+
+def outline(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit outlines: each value sets one bit. A bit that is set in one outline only stands for at least one value
+    that the other set lacks."""
+    bits = np.uint64(1) << (hashes >> np.uint64(58))
+    return np.bitwise_or.reduceat(bits[places], starts[:-1]).view(np.int64) if len(starts) > 1 else np.empty(0, np.int64)
+
+
+_SETS = "field_name string, id bigint, set_key string, vals array<string>, bits bigint, bands array<bigint>"
+
+
+def _signed_batch(field: str, ids: list, arrays: list, cleaned: dict, signer: Signer) -> dict:
+    kept, values, keys, sets = [], {}, [], []
+    places, starts = [], [0]
+    for key, raw in zip(ids, arrays):
+        if raw is None:
+            continue
+        vals = set()
+        for x in raw:
+            if x is not None:
+                c = cleaned.get(x)
+                if c is None:
+                    c = cleaned[x] = clean_value(x)
+                vals.add(c)
+        vals.discard("")
+        if len(vals) >= MIN_SIZE:
+            vals = sorted(vals)
+            kept.append(key)
+            sets.append(vals)
+            keys.append(hashlib.blake2b("\x00".join(vals).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+            places += [values.setdefault(v, len(values)) for v in vals]
+            starts.append(len(places))
+    hashes = np.array([hash64(v) for v in values], dtype=np.uint64)
+    at, ends = np.array(places, dtype=np.int64), np.array(starts, dtype=np.int64)
+    bands = signer.bands_of(hashes, at, ends) if kept else np.empty((0, signer.bands), np.int64)
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * signer.bands), pa.array(bands.ravel()))
+    return {"field_name": pa.array([field] * len(kept), pa.string()), "id": pa.array(kept, pa.int64()), "set_key": pa.array(keys, pa.string()), "vals": pa.array(sets, pa.list_(pa.string())), "bits": pa.array(outline(hashes, at, ends)), "bands": flat}
 
 
 def value_sets(df: DataFrame, key: str, fields: list[str], at: str) -> DataFrame:
-    """(field_name, id, set_key, vals, bands) with one row per id and field whose set is large enough."""
+    """(field_name, id, set_key, vals, bits, bands) with one row per id and field whose set is large enough."""
     latest = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
         F.max(F.struct(F.coalesce(F.col(at).cast("double"), F.lit(float("-inf"))).alias("at"), *[F.col(f) for f in fields])).alias("r")
     ).select("id", *[F.col(f"r.{f}").alias(f"v{i}") for i, f in enumerate(fields)])
 
     def sign(batches):
-        signer = Signer(ROWS, BANDS)
-        for pdf in batches:
-            out = []
+        signer, cleaned = Signer(), {}
+        for batch in batches:
+            if len(cleaned) > 200_000:
+                cleaned.clear()
+            ids = batch.column(0).to_pylist()
             for i, field in enumerate(fields):
-                for key_, raw in zip(pdf["id"], pdf[f"v{i}"]):
-                    if raw is None:
-                        continue
-                    vals = sorted({c for c in (clean_value(x) for x in raw if x is not None) if c})
-                    if len(vals) >= MIN_SIZE:
-                        digest = hashlib.blake2b("\x00".join(vals).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                        out.append((field, key_, digest, vals, signer.bands_of(vals)))
-            yield pd.DataFrame(out, columns=["field_name", "id", "set_key", "vals", "bands"])
+                yield pa.RecordBatch.from_pydict(_signed_batch(field, ids, batch.column(i + 1).to_pylist(), cleaned, signer))
 
-    return latest.mapInPandas(sign, "field_name string, id bigint, set_key string, vals array<string>, bands array<bigint>")
+    return latest.mapInArrow(sign, _SETS)
 
 
-def similar_classes(sets: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def _overlap_fits(threshold: float):
+    """SQL condition on rows a and b with (n, bits): their sets may still share enough. What only one outline has bounds
+    the shared values from above; both bounds hold for any outline, so no link is lost."""
+    shared = F.least(F.col("a.n") - F.bit_count(F.col("a.bits").bitwiseAND(F.bitwise_not("b.bits"))), F.col("b.n") - F.bit_count(F.col("b.bits").bitwiseAND(F.bitwise_not("a.bits"))))
+    return shared * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
+
+
+def _meet(keyed: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """Pairs (field_name, class_a, class_b) of rows (keys..., field_name, id, n, bits) that meet under equal keys."""
+    a, b = keyed.alias("a"), keyed.hint("merge").alias("b")
+    on = (F.col("a.id") < F.col("b.id")) & _overlap_fits(threshold)
+    for k in keys:
+        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return a.join(b, on).select("a.field_name", F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
+
+
+def _needed(reps: DataFrame, threshold: float) -> DataFrame:
+    """(field_name, id, value): the rarest values of each set, as many as a similar set cannot all lack."""
+    listed = reps.select("field_name", "id", "n", F.explode("vals").alias("value"))
+    counts = listed.groupBy("field_name", "value").agg(F.count("*").alias("k"))
+    ranked = listed.join(counts.hint("merge"), ["field_name", "value"]).withColumn(
+        "place", F.row_number().over(Window.partitionBy("field_name", "id").orderBy("k", "value"))
+    )
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("field_name", "id", "value")
+
+
+def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Members (field_name, class_id, id) and links between classes (field_name, class_a, class_b), class_a < class_b;
     a class is named by its smallest id."""
     keys = sets.groupBy("field_name", "set_key").agg(F.min("id").alias("class_id"))
-    members = sets.select("field_name", "set_key", "id").join(keys, ["field_name", "set_key"]).select("field_name", "class_id", "id")
-    reps = sets.join(keys.select("field_name", "set_key", F.col("class_id").alias("id")), ["field_name", "set_key", "id"], "left_semi")
-    banded = reps.select("field_name", "id", F.size("vals").alias("n"), F.explode("bands").alias("bucket"))
-    a, b = banded.alias("a"), banded.alias("b")
-    fits = (F.col("a.n") >= threshold * F.col("b.n")) & (F.col("b.n") >= threshold * F.col("a.n"))
-    pairs = (
-        a.join(b, (F.col("a.field_name") == F.col("b.field_name")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & fits)
-        .select("a.field_name", F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
-        .distinct()
-    )
+    members = sets.select("field_name", "set_key", "id").join(keys.hint("merge"), ["field_name", "set_key"])
+    members = stored(members.select("field_name", "class_id", "id"), "set-members")
+    heads = members.where("id = class_id").select("field_name", "id")
+    reps = sets.join(heads.hint("merge"), ["field_name", "id"]).select("field_name", "id", F.size("vals").alias("n"), "vals", "bits", "bands")
+    reps = stored(reps, "set-reps")
+    banded = reps.select("field_name", "id", "n", "bits", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("field_name", "bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    banded = stored(banded.join(shared.hint("shuffle_hash"), ["field_name", "bucket"]), "set-bands")
+    pairs = _meet(banded.where(F.col("crowd") <= hot), ["field_name", "bucket"], threshold)
+    crowded = banded.where(F.col("crowd") > hot)
+    if crowded.take(1):
+        inside = crowded.select("field_name", "id").distinct()
+        needed = _needed(reps.select("field_name", "id", "n", "vals").join(inside.hint("merge"), ["field_name", "id"]), threshold)
+        split = crowded.join(needed.hint("merge"), ["field_name", "id"]).select("field_name", "bucket", "value", "id", "n", "bits")
+        pairs = pairs.unionByName(_meet(split, ["field_name", "bucket", "value"], threshold))
+    pairs = stored(pairs.distinct(), "set-pairs")
     va = reps.select("field_name", F.col("id").alias("class_a"), F.col("vals").alias("va"))
     vb = reps.select("field_name", F.col("id").alias("class_b"), F.col("vals").alias("vb"))
     shared = F.size(F.array_intersect("va", "vb"))
     links = (
-        pairs.join(va, ["field_name", "class_a"]).join(vb, ["field_name", "class_b"])
-        .where(shared >= threshold * (F.size("va") + F.size("vb") - shared))
+        va.join(pairs.hint("merge"), ["field_name", "class_a"]).join(vb.hint("merge"), ["field_name", "class_b"])
+        .where(shared * (1 + threshold) >= threshold * (F.size("va") + F.size("vb")) - 1e-9)
         .select("field_name", "class_a", "class_b")
     )
     return members, links
 
 
 def prepare(df: DataFrame, key: str, fields: list[str], at: str) -> tuple[DataFrame, DataFrame]:
-    return similar_classes(cut(value_sets(df, key, fields, at)))
+    return similar_classes(stored(value_sets(df, key, fields, at), "set-values"))
 
 
 def note_pairs(df: DataFrame, key: str = "note_id", fields: tuple[str, ...] = ("tags", "phrases"), at: str = "indexed_at") -> DataFrame:
     """(field_name, note_a, note_b): class links and class memberships written out as pairs of records."""
     members, links = prepare(df, key, list(fields), at)
     ma = members.select("field_name", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    mb = members.select("field_name", F.col("class_id").alias("class_b"), F.col("id").alias("y"))
+    mb = members.select("field_name", F.col("class_id").alias("class_b"), F.col("id").alias("y")).hint("merge")
     same = ma.join(mb.withColumnRenamed("class_b", "class_a"), ["field_name", "class_a"]).where("x < y")
-    across = links.join(ma, ["field_name", "class_a"]).join(mb, ["field_name", "class_b"])
+    across = links.join(ma.hint("merge"), ["field_name", "class_a"]).join(mb, ["field_name", "class_b"])
     cols = ["field_name", F.least("x", "y").alias("note_a"), F.greatest("x", "y").alias("note_b")]
     return same.select(*cols).unionByName(across.select(*cols))
 
@@ -138,14 +207,15 @@ def note_links(df: DataFrame, key: str = "note_id", fields: tuple[str, ...] = ("
     """(field_name, note_id, class_id, n_links): one row per record and field, however large its class is."""
     members, links = prepare(df, key, list(fields), at)
     size = members.groupBy("field_name", "class_id").agg(F.count("*").alias("n"))
+    links = stored(links, "set-links")
     both = links.select("field_name", F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(
         links.select("field_name", F.col("class_b").alias("class_id"), F.col("class_a").alias("other"))
     )
     far = (
-        both.join(size.select("field_name", F.col("class_id").alias("other"), "n"), ["field_name", "other"])
+        both.join(size.hint("merge").select("field_name", F.col("class_id").alias("other"), "n"), ["field_name", "other"])
         .groupBy("field_name", "class_id").agg(F.sum("n").alias("far"))
     )
     return (
-        members.join(size, ["field_name", "class_id"]).join(far, ["field_name", "class_id"], "left")
+        members.join(size.hint("merge"), ["field_name", "class_id"]).join(far.hint("merge"), ["field_name", "class_id"], "left")
         .select("field_name", F.col("id").alias("note_id"), "class_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
     )

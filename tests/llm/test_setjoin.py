@@ -33,6 +33,30 @@ def test_like_brute_force(spark):
             assert links[i] == sum(i in p[1:] for p in want)
 
 
+def test_crowded_bands_lose_no_link(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):  # all share two values; some share a third and a fourth
+        rows.append((i, ["common", "usual", f"topic {rng.randrange(12)}", f"own {rng.randrange(60)}"], None, None))
+    sets = setjoin.stored(setjoin.value_sets(frame(spark, rows), "note_id", ["tags"], "indexed_at"), "test-sets")
+    _, split = setjoin.similar_classes(sets, hot=4)
+    _, plain = setjoin.similar_classes(sets, hot=10**6)
+    split, plain = {tuple(r) for r in split.collect()}, {tuple(r) for r in plain.collect()}
+    vals = {r.id: set(r.vals) for r in sets.collect()}
+    heads = {}
+    for i in sorted(vals):
+        heads.setdefault(frozenset(vals[i]), i)
+    heads = sorted(heads.values())
+    want = {("tags", i, j) for i in heads for j in heads if i < j and 10 * len(vals[i] & vals[j]) >= 6 * len(vals[i] | vals[j])}
+    assert split == plain == want and len(want) > 100
+
+
+def test_large_and_long_sets(spark):
+    big = [f"v{i}" for i in range(45_000)]
+    rows = [(1, big, None, None), (2, big[:40_000], None, None), (3, big[:20_000], None, None), (4, ["x" * 100_000, "y", "z"], None, None), (5, ["x" * 100_000, "y", "z", "w"], None, None)]
+    assert {tuple(r) for r in setjoin.note_pairs(frame(spark, rows)).collect()} == {("tags", 1, 2), ("tags", 4, 5)}
+
+
 def test_cleaning_nulls_states_and_copies(spark):
     old, new = datetime(2020, 1, 1), datetime(2021, 1, 1)
     rows = [
