@@ -5,25 +5,34 @@ conversation longer than its limit into lists of whole turns. Both choose the cu
 boundary positions: the sum of cut penalties (paragraph < line < sentence < word < none) and of the squared
 deviations from even sizes is least, subject to the size limit and the overlap.
 
+A conversation is planned as a stream of turn sizes: the planner keeps the states of the last ``limit`` characters, and as
+soon as all of them go back to the same cut, what lies before it is final and leaves the task. The result does not depend
+on how long a conversation is or how its rows arrive.
+
 Defined results: of a repeated (conv, turn) the row ingested last counts (NULL times first, then the longer, then
 the greater text); NULL contents count as empty; a text without any boundary is cut at the limit; a single turn
 over the conversation limit forms a list of its own; where two shared turns leave no room for another turn, fewer
-are shared. Empty tables give empty results. Extra columns are ignored.
+are shared; empty turns stay with the turn before. An overlap begins at a word start if there is one in the first half of
+the ``overlap`` characters before the cut, else exactly ``overlap`` characters before it. ``max_chars`` must exceed
+``overlap``. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.session import stored
+
 MAX_CHARS, OVERLAP = 4000, 200
 CONV_CHARS, SHARED_TURNS = 24000, 2
-#: Turns of one conversation that one task plans at a time; blocks hand their last turns to the next block.
-BLOCK_TURNS = 4096
+#: Turns after which the planner looks for cuts that are final.
+SETTLE = 4096
 
 # The penalty of a cut by the best boundary that ends there.
 PARAGRAPH, LINE, SENTENCE, WORD, NONE = 0.0, 0.05, 0.1, 0.4, 5.0
@@ -69,18 +78,22 @@ def _candidates(text: str, room: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _starts(text: str, ends: np.ndarray, overlap: int) -> np.ndarray:
-    """Where the piece after a cut begins: the first word start within the overlap before it."""
+    """Where the piece after a cut begins: ``overlap`` characters before it, or at the first word start in the first half
+    of them."""
     out = np.maximum(ends - overlap, 0)
-    for k, (s, e) in enumerate(zip(out.tolist(), ends.tolist())):
+    for k, s in enumerate(out.tolist()):
         if s and not text[s - 1].isspace():
-            m = _WORD.search(text, s, e)
-            out[k] = m.end() if m else s
+            m = _WORD.search(text, s, s + overlap // 2)
+            if m and not text[m.end()].isspace():
+                out[k] = m.end()
     return out
 
 
 def cut_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """The (start, end) of each piece; one piece if the text is within the limit."""
     n = len(text)
+    if not 0 <= overlap < max_chars:
+        raise ValueError("the overlap must be shorter than a piece")
     if n <= max_chars:
         return [(0, n)]
     ends, penalty = _candidates(text, max_chars - overlap)
@@ -103,29 +116,96 @@ def cut_text(text: str, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> l
     return out[::-1]
 
 
-def plan_sizes(sizes: list[int], own: int, limit: int, shared: int) -> list[tuple[int, int]]:
-    """Lists [start, end) over ``sizes``; the first ``own`` entries only serve as shared turns of the first list."""
-    n = len(sizes)
-    pre = np.concatenate(([0], np.cumsum(sizes)))
-    total = pre[n] - pre[own]
-    even = min(limit, total / max(1, np.ceil(total / limit)))
-    cost, back = np.full(n + 1, np.inf), [(0, 0)] * (n + 1)
-    cost[own] = 0.0
-    for e in range(own + 1, n + 1):
-        for prev in range(e - 1, own - 1, -1):
-            if pre[e] - pre[prev] > limit and prev < e - 1:
-                break
-            start, short = max(0, prev - shared), 0
-            while start < prev and pre[e] - pre[start] > limit:  # no room: share fewer turns
-                start, short = start + 1, short + 1
-            c = cost[prev] + 10.0 * short + BALANCE * ((pre[e] - pre[start] - even) / limit) ** 2 + 0.05
-            if c < cost[e]:
-                cost[e], back[e] = c, (prev, start)
-    out, e = [], n
-    while e > own:
-        out.append((back[e][1], e))
-        e = back[e][0]
-    return out[::-1]
+class Planner:
+    """Lists of whole turns of one conversation, by dynamic programming over its stream of turn sizes.
+
+    A state is a cut in front of a non-empty turn: the least cost of the lists up to there. Position p lies in front of
+    turn p; ``pre[p]`` characters lie before it. Only states within ``limit`` characters are kept, besides the way back
+    to the last cut that is final."""
+
+    def __init__(self, total: int, limit: int, shared: int):
+        self.limit, self.shared = limit, shared
+        self.even = min(limit, total / max(1, -(-total // limit)))
+        self.base, self.turns, self.pre = 0, [], [0]  # turns and their prefix sums from position ``base`` on
+        self.at, self.cost = np.zeros(16, dtype=np.int64), np.zeros(16)  # the states, in order, from ``first`` to ``last``
+        self.chars = np.zeros(16, dtype=np.int64)
+        self.first, self.last, self.final, self.opened = 0, 1, 0, False
+        self.back: dict[int, tuple[int, int]] = {}
+
+    def _grow(self) -> None:
+        if self.last == len(self.at):
+            live = slice(self.first, self.last)
+            size = max(16, 2 * (self.last - self.first))
+            for name in ("at", "cost", "chars"):
+                old = getattr(self, name)
+                new = np.zeros(size, dtype=old.dtype)
+                new[: self.last - self.first] = old[live]
+                setattr(self, name, new)
+            self.first, self.last = 0, self.last - self.first
+
+    def _reach(self, end: int, chars: int) -> float:
+        """The least cost of a cut at position ``end``; the way to it is kept."""
+        lo = self.first + int(np.searchsorted(self.chars[self.first : self.last], chars - self.limit, "left"))
+        self.first = min(lo, self.last - 1)
+        at = self.at[self.first : self.last]
+        wish = np.maximum(at - self.shared, 0)
+        room = self.base + bisect.bisect_left(self.pre, chars - self.limit)
+        start = np.maximum(wish, np.minimum(room, at))
+        size = chars - np.array([self.pre[p - self.base] for p in start.tolist()])
+        total = self.cost[self.first : self.last] + 10.0 * (start - wish) + BALANCE * ((size - self.even) / self.limit) ** 2 + 0.05
+        k = len(total) - 1 - int(np.argmin(total[::-1]))
+        self.back[end] = (int(at[k]), int(start[k]))
+        return float(total[k])
+
+    def push(self, turn: int, size: int) -> None:
+        here = self.base + len(self.turns)
+        if size and self.opened:
+            chars = self.pre[-1]
+            cost = self._reach(here, chars)
+            self._grow()
+            self.at[self.last], self.cost[self.last], self.chars[self.last] = here, cost, chars
+            self.last += 1
+        self.opened = self.opened or size > 0
+        self.turns.append(turn)
+        self.pre.append(self.pre[-1] + size)
+
+    def _lists(self, end: int) -> list[tuple[list[int], int]]:
+        out = []
+        while end > self.final:
+            prev, start = self.back[end]
+            out.append((self.turns[start - self.base : end - self.base], self.pre[end - self.base] - self.pre[start - self.base]))
+            end = prev
+        return out[::-1]
+
+    def settle(self) -> list[tuple[list[int], int]]:
+        """The lists that no further turn can change; what led to them is forgotten."""
+        ways = sorted(set(self.at[self.first : self.last].tolist()))
+        while len(ways) > 1 and ways[-1] > self.final:
+            p = self.back[ways.pop()][0]
+            k = bisect.bisect_left(ways, p)
+            if k == len(ways) or ways[k] != p:
+                ways.insert(k, p)
+        out, self.final = self._lists(ways[0]), ways[0]
+        self.back = {e: b for e, b in self.back.items() if e > self.final}
+        keep = max(self.base, self.final - self.shared)
+        self.turns, self.pre = self.turns[keep - self.base :], self.pre[keep - self.base :]
+        self.base = keep
+        return out
+
+    def finish(self) -> list[tuple[list[int], int]]:
+        end = self.base + len(self.turns)
+        if end == self.final:
+            return []
+        self._reach(end, self.pre[-1])
+        return self._lists(end)
+
+
+def plan_sizes(sizes: list[int], limit: int, shared: int) -> list[list[int]]:
+    """Lists of positions in ``sizes``."""
+    planner = Planner(sum(sizes), limit, shared)
+    for i, n in enumerate(sizes):
+        planner.push(i, n)
+    return [x for x, _ in planner.finish()]
 
 
 def latest_turns(turns: DataFrame, keep_longer_than: int) -> DataFrame:
@@ -156,41 +236,45 @@ def split_turns(latest: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OV
     return long.mapInPandas(cut, "conv_id bigint, turn int, piece_no int, start_at int, end_at int, piece string")
 
 
-def plan_chunks(latest: DataFrame, limit: int = CONV_CHARS, shared: int = SHARED_TURNS, block: int = BLOCK_TURNS) -> DataFrame:
-    """Lists of turns (conv_id, block_no, chunk_no, first_turn, last_turn, n_turns, n_chars, turns) of the
-    conversations over ``limit`` characters. A conversation is planned in blocks of ``block`` turns, so none has
-    to fit into one task; the numbering of lists starts anew in each block."""
+def plan_chunks(latest: DataFrame, limit: int = CONV_CHARS, shared: int = SHARED_TURNS, settle: int = SETTLE) -> DataFrame:
+    """Lists of turns (conv_id, chunk_no, first_turn, last_turn, n_turns, n_chars, turns) of the conversations over
+    ``limit`` characters. Numbers alone travel; a task holds the states of the conversation it is at."""
     sizes = latest.select("conv_id", F.coalesce("turn", F.lit(-1)).alias("turn"), "n_chars")
-    over = sizes.groupBy("conv_id").agg(F.sum("n_chars").alias("n")).where(F.col("n") > limit).select("conv_id")
-    sizes = sizes.join(over, "conv_id", "left_semi").withColumn("rough", F.floor(F.col("turn") / block))
-    counts = sizes.groupBy("conv_id", "rough").count()
-    before = Window.partitionBy("conv_id").orderBy("rough").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("conv_id", "rough", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("conv_id", "rough").orderBy("turn"))
-    ranked = sizes.withColumn("rn", rank).join(counts, ["conv_id", "rough"]).withColumn("pos", F.col("base") + F.col("rn") - 1)
-    home = F.floor(F.col("pos") / block)
-    carried = F.col("pos") % block >= block - shared
-    placed = ranked.withColumn(
-        "b", F.explode(F.when(carried, F.array(home, home + 1)).otherwise(F.array(home)))
-    ).select("conv_id", F.col("b").alias("block_no"), "turn", "n_chars", (F.col("b") == home).alias("own"))
-
-    def plan(key, pdf):
-        pdf = pdf.sort_values("turn")
-        lead, turns, chars = int((~pdf.own).sum()), pdf.turn.tolist(), pdf.n_chars.tolist()
-        rows = [
-            (key[0], key[1], i, turns[s], turns[e - 1], e - s, int(sum(chars[s:e])), turns[s:e])
-            for i, (s, e) in enumerate(plan_sizes(chars, lead, limit, shared))
-        ]
-        return pd.DataFrame(rows, columns=["conv_id", "block_no", "chunk_no", "first_turn", "last_turn", "n_turns", "n_chars", "turns"])
-
-    return placed.groupBy("conv_id", "block_no").applyInPandas(
-        plan, "conv_id bigint, block_no bigint, chunk_no int, first_turn int, last_turn int, n_turns int, n_chars bigint, turns array<int>"
-    )
+    over = sizes.groupBy("conv_id").agg(F.sum("n_chars").alias("total")).where(F.col("total") > limit)
+    sizes = sizes.join(over, "conv_id").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+
+    def plan(batches):
+        planner, conv, number = None, None, 0
+
+        def rows(lists):
+            nonlocal number
+            out = [(conv, number + i, t[0], t[-1], len(t), n, t) for i, (t, n) in enumerate(lists)]
+            number += len(lists)
+            return out
+
+        def frame(out):
+            return pd.DataFrame(out, columns=["conv_id", "chunk_no", "first_turn", "last_turn", "n_turns", "n_chars", "turns"])
+
+        for pdf in batches:
+            out = []
+            for c, t, n, total in zip(pdf.conv_id.tolist(), pdf.turn.tolist(), pdf.n_chars.tolist(), pdf.total.tolist()):
+                if planner is None or c != conv:
+                    if planner is not None:
+                        out += rows(planner.finish())
+                    planner, conv, number = Planner(total, limit, shared), c, 0
+                planner.push(t, n)
+                if len(planner.turns) % settle == 0:
+                    out += rows(planner.settle())
+            yield frame(out)
+        if planner is not None:
+            yield frame(rows(planner.finish()))
+
+    return sizes.mapInPandas(plan, "conv_id bigint, chunk_no int, first_turn int, last_turn int, n_turns int, n_chars bigint, turns array<int>")
 
 
 def oversized(turns: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, conv_chars: int = CONV_CHARS) -> DataFrame:
     """(conv_id, turn) of the turns that came out in pieces, (conv_id, -1) of the conversations that came out in lists."""
-    latest = latest_turns(turns, max_chars)
+    latest = stored(latest_turns(turns, max_chars), "turns-latest")  # read by both ways
     pieces = split_turns(latest, max_chars, overlap).where("piece_no = 0").select("conv_id", "turn")
-    chunks = plan_chunks(latest, conv_chars).where("block_no = 0 AND chunk_no = 0").select("conv_id", F.lit(-1).alias("turn"))
+    chunks = plan_chunks(latest, conv_chars).where("chunk_no = 0").select("conv_id", F.lit(-1).alias("turn"))
     return pieces.unionByName(chunks)
