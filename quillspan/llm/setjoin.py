@@ -31,7 +31,7 @@ THRESHOLD, MIN_SIZE = 0.6, 3
 #: A pair at similarity 0.6 shares no band with probability (1 - 0.6 ** ROWS) ** BANDS, about 1e-4.
 ROWS, BANDS = 3, 38
 #: Sets in one band from which the band is split by value.
-HOT = 64
+HOT = 256
 #: Values whose seeded hashes are computed at a time.
 CHUNK = 20_000
 
@@ -82,10 +82,11 @@ def outline(hashes: np.ndarray, places: np.ndarray, starts: np.ndarray) -> np.nd
     return np.bitwise_or.reduceat(bits[places], starts[:-1]).view(np.int64) if len(starts) > 1 else np.empty(0, np.int64)
 
 
-_SETS = "field_name string, id bigint, set_key string, vals array<string>, bits bigint, bands array<bigint>"
+#: ``f`` is the place of the field in the list of fields.
+_SETS = "f int, id bigint, set_key binary, vals array<string>, bits bigint, bands array<bigint>"
 
 
-def _signed_batch(field: str, ids: list, arrays: list, cleaned: dict, signer: Signer) -> dict:
+def _signed_batch(f: int, ids: list, arrays: list, cleaned: dict, signer: Signer) -> dict:
     kept, values, keys, sets = [], {}, [], []
     places, starts = [], [0]
     for key, raw in zip(ids, arrays):
@@ -103,18 +104,18 @@ def _signed_batch(field: str, ids: list, arrays: list, cleaned: dict, signer: Si
             vals = sorted(vals)
             kept.append(key)
             sets.append(vals)
-            keys.append(hashlib.blake2b("\x00".join(vals).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+            keys.append(hashlib.blake2b("\x00".join(vals).encode("utf-8", "surrogatepass"), digest_size=16).digest())
             places += [values.setdefault(v, len(values)) for v in vals]
             starts.append(len(places))
     hashes = np.array([hash64(v) for v in values], dtype=np.uint64)
     at, ends = np.array(places, dtype=np.int64), np.array(starts, dtype=np.int64)
-    bands = signer.bands_of(hashes, at, ends) if kept else np.empty((0, signer.bands), np.int64)
+    bands = signer.bands_of(hashes ^ mix(np.uint64([f])), at, ends) if kept else np.empty((0, signer.bands), np.int64)
     flat = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * signer.bands), pa.array(bands.ravel()))
-    return {"field_name": pa.array([field] * len(kept), pa.string()), "id": pa.array(kept, pa.int64()), "set_key": pa.array(keys, pa.string()), "vals": pa.array(sets, pa.list_(pa.string())), "bits": pa.array(outline(hashes, at, ends)), "bands": flat}
+    return {"f": pa.array([f] * len(kept), pa.int32()), "id": pa.array(kept, pa.int64()), "set_key": pa.array(keys, pa.binary()), "vals": pa.array(sets, pa.list_(pa.string())), "bits": pa.array(outline(hashes, at, ends)), "bands": flat}
 
 
 def value_sets(df: DataFrame, key: str, fields: list[str], at: str) -> DataFrame:
-    """(field_name, id, set_key, vals, bits, bands) with one row per id and field whose set is large enough."""
+    """(f, id, set_key, vals, bits, bands) with one row per id and field whose set is large enough."""
     latest = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(
         F.max(F.struct(F.coalesce(F.col(at).cast("double"), F.lit(float("-inf"))).alias("at"), *[F.col(f) for f in fields])).alias("r")
     ).select("id", *[F.col(f"r.{f}").alias(f"v{i}") for i, f in enumerate(fields)])
@@ -125,8 +126,8 @@ def value_sets(df: DataFrame, key: str, fields: list[str], at: str) -> DataFrame
             if len(cleaned) > 200_000:
                 cleaned.clear()
             ids = batch.column(0).to_pylist()
-            for i, field in enumerate(fields):
-                yield pa.RecordBatch.from_pydict(_signed_batch(field, ids, batch.column(i + 1).to_pylist(), cleaned, signer))
+            for f in range(len(fields)):
+                yield pa.RecordBatch.from_pydict(_signed_batch(f, ids, batch.column(f + 1).to_pylist(), cleaned, signer))
 
     return latest.mapInArrow(sign, _SETS)
 
@@ -138,56 +139,57 @@ def _overlap_fits(threshold: float):
     return shared * (1 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")) - 1e-9
 
 
-def _meet(keyed: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Pairs (field_name, class_a, class_b) of rows (keys..., field_name, id, n, bits) that meet under equal keys."""
+def _meet(keyed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (f, class_a, class_b) of rows (bucket, f, id, n, bits) that meet in a bucket; equal buckets of different
+    fields are told apart behind the join, so that its key is one number."""
     a, b = keyed.alias("a"), keyed.hint("merge").alias("b")
-    on = (F.col("a.id") < F.col("b.id")) & _overlap_fits(threshold)
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    return a.join(b, on).select("a.field_name", F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
+    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.f") - F.col("b.f") == 0) & (F.col("a.id") < F.col("b.id")) & _overlap_fits(threshold)
+    return a.join(b, on).select("a.f", F.col("a.id").alias("class_a"), F.col("b.id").alias("class_b"))
 
 
 def _needed(reps: DataFrame, threshold: float) -> DataFrame:
-    """(field_name, id, value): the rarest values of each set, as many as a similar set cannot all lack."""
-    listed = reps.select("field_name", "id", "n", F.explode("vals").alias("value"))
-    counts = listed.groupBy("field_name", "value").agg(F.count("*").alias("k"))
-    ranked = listed.join(counts.hint("merge"), ["field_name", "value"]).withColumn(
-        "place", F.row_number().over(Window.partitionBy("field_name", "id").orderBy("k", "value"))
-    )
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("field_name", "id", "value")
+    """(f, id, value): hashes of the rarest values of each set, as many as a similar set cannot all lack."""
+    listed = reps.select("f", "id", "n", F.explode(F.transform("vals", lambda v: F.xxhash64("f", v))).alias("value"))
+    counts = listed.groupBy("value").agg(F.count("*").alias("k"))
+    ranked = listed.join(counts.hint("merge"), "value").withColumn("place", F.row_number().over(Window.partitionBy("f", "id").orderBy("k", "value")))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).select("f", "id", "value")
 
 
 def similar_classes(sets: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Members (field_name, class_id, id) and links between classes (field_name, class_a, class_b), class_a < class_b;
-    a class is named by its smallest id."""
-    keys = sets.groupBy("field_name", "set_key").agg(F.min("id").alias("class_id"))
-    members = sets.select("field_name", "set_key", "id").join(keys.hint("merge"), ["field_name", "set_key"])
-    members = stored(members.select("field_name", "class_id", "id"), "set-members")
-    heads = members.where("id = class_id").select("field_name", "id")
-    reps = sets.join(heads.hint("merge"), ["field_name", "id"]).select("field_name", "id", F.size("vals").alias("n"), "vals", "bits", "bands")
+    """Members (f, class_id, id) and links between classes (f, class_a, class_b), class_a < class_b; a class is named by
+    its smallest id."""
+    keys = sets.groupBy("f", "set_key").agg(F.min("id").alias("class_id"))
+    members = sets.select("f", "set_key", "id").join(keys.hint("merge"), ["f", "set_key"])
+    members = stored(members.select("f", "class_id", "id"), "set-members")
+    heads = members.where("id = class_id").select("f", "id")
+    reps = sets.join(heads.hint("merge"), ["f", "id"]).select("f", "id", F.size("vals").alias("n"), "vals", "bits", "bands")
     reps = stored(reps, "set-reps")
-    banded = reps.select("field_name", "id", "n", "bits", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("field_name", "bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    banded = stored(banded.join(shared.hint("shuffle_hash"), ["field_name", "bucket"]), "set-bands")
-    pairs = _meet(banded.where(F.col("crowd") <= hot), ["field_name", "bucket"], threshold)
+    banded = reps.select("f", "id", "n", "bits", F.explode("bands").alias("bucket"))
+    met = banded.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    banded = stored(banded.join(met.hint("shuffle_hash"), "bucket"), "set-bands")
+    pairs = _meet(banded.where(F.col("crowd") <= hot), threshold)
     crowded = banded.where(F.col("crowd") > hot)
     if crowded.take(1):
-        inside = crowded.select("field_name", "id").distinct()
-        needed = _needed(reps.select("field_name", "id", "n", "vals").join(inside.hint("merge"), ["field_name", "id"]), threshold)
-        split = crowded.join(needed.hint("merge"), ["field_name", "id"]).select("field_name", "bucket", "value", "id", "n", "bits")
-        pairs = pairs.unionByName(_meet(split, ["field_name", "bucket", "value"], threshold))
+        inside = crowded.select("f", "id").distinct()
+        needed = _needed(reps.select("f", "id", "n", "vals").join(inside.hint("merge"), ["f", "id"]), threshold)
+        split = crowded.join(needed.hint("merge"), ["f", "id"]).select(F.xxhash64("bucket", "value").alias("bucket"), "f", "id", "n", "bits")
+        pairs = pairs.unionByName(_meet(split, threshold))
     pairs = stored(pairs.distinct(), "set-pairs")
-    va = reps.select("field_name", F.col("id").alias("class_a"), F.col("vals").alias("va"))
-    vb = reps.select("field_name", F.col("id").alias("class_b"), F.col("vals").alias("vb"))
+    va = reps.select("f", F.col("id").alias("class_a"), F.col("vals").alias("va"))
+    vb = reps.select("f", F.col("id").alias("class_b"), F.col("vals").alias("vb"))
     shared = F.size(F.array_intersect("va", "vb"))
     links = (
-        va.join(pairs.hint("merge"), ["field_name", "class_a"]).join(vb.hint("merge"), ["field_name", "class_b"])
+        va.join(pairs.hint("merge"), ["f", "class_a"]).join(vb.hint("merge"), ["f", "class_b"])
         .where(shared * (1 + threshold) >= threshold * (F.size("va") + F.size("vb")) - 1e-9)
-        .select("field_name", "class_a", "class_b")
+        .select("f", "class_a", "class_b")
     )
     return members, links
 
 
+def _named(fields) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in fields]), F.col("f") + 1).alias("field_name")
+
+
 def prepare(df: DataFrame, key: str, fields: list[str], at: str) -> tuple[DataFrame, DataFrame]:
     return similar_classes(stored(value_sets(df, key, fields, at), "set-values"))
 
@@ -195,27 +197,27 @@ def prepare(df: DataFrame, key: str, fields: list[str], at: str) -> tuple[DataFr
 def note_pairs(df: DataFrame, key: str = "note_id", fields: tuple[str, ...] = ("tags", "phrases"), at: str = "indexed_at") -> DataFrame:
     """(field_name, note_a, note_b): class links and class memberships written out as pairs of records."""
     members, links = prepare(df, key, list(fields), at)
-    ma = members.select("field_name", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    mb = members.select("field_name", F.col("class_id").alias("class_b"), F.col("id").alias("y")).hint("merge")
-    same = ma.join(mb.withColumnRenamed("class_b", "class_a"), ["field_name", "class_a"]).where("x < y")
-    across = links.join(ma.hint("merge"), ["field_name", "class_a"]).join(mb, ["field_name", "class_b"])
-    cols = ["field_name", F.least("x", "y").alias("note_a"), F.greatest("x", "y").alias("note_b")]
+    ma = members.select("f", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
+    mb = members.select("f", F.col("class_id").alias("class_b"), F.col("id").alias("y")).hint("merge")
+    same = ma.join(mb.withColumnRenamed("class_b", "class_a"), ["f", "class_a"]).where("x < y")
+    across = links.join(ma.hint("merge"), ["f", "class_a"]).join(mb, ["f", "class_b"])
+    cols = [_named(fields), F.least("x", "y").alias("note_a"), F.greatest("x", "y").alias("note_b")]
     return same.select(*cols).unionByName(across.select(*cols))
 
 
 def note_links(df: DataFrame, key: str = "note_id", fields: tuple[str, ...] = ("tags", "phrases"), at: str = "indexed_at") -> DataFrame:
     """(field_name, note_id, class_id, n_links): one row per record and field, however large its class is."""
     members, links = prepare(df, key, list(fields), at)
-    size = members.groupBy("field_name", "class_id").agg(F.count("*").alias("n"))
+    size = members.groupBy("f", "class_id").agg(F.count("*").alias("n"))
     links = stored(links, "set-links")
-    both = links.select("field_name", F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(
-        links.select("field_name", F.col("class_b").alias("class_id"), F.col("class_a").alias("other"))
+    both = links.select("f", F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(
+        links.select("f", F.col("class_b").alias("class_id"), F.col("class_a").alias("other"))
     )
     far = (
-        both.join(size.hint("merge").select("field_name", F.col("class_id").alias("other"), "n"), ["field_name", "other"])
-        .groupBy("field_name", "class_id").agg(F.sum("n").alias("far"))
+        both.join(size.hint("merge").select("f", F.col("class_id").alias("other"), "n"), ["f", "other"])
+        .groupBy("f", "class_id").agg(F.sum("n").alias("far"))
     )
     return (
-        members.join(size.hint("merge"), ["field_name", "class_id"]).join(far.hint("merge"), ["field_name", "class_id"], "left")
-        .select("field_name", F.col("id").alias("note_id"), "class_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+        members.join(size.hint("merge"), ["f", "class_id"]).join(far.hint("merge"), ["f", "class_id"], "left")
+        .select(_named(fields), F.col("id").alias("note_id"), "class_id", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
     )

@@ -47,7 +47,7 @@ def test_crowded_bands_lose_no_link(spark):
     for i in sorted(vals):
         heads.setdefault(frozenset(vals[i]), i)
     heads = sorted(heads.values())
-    want = {("tags", i, j) for i in heads for j in heads if i < j and 10 * len(vals[i] & vals[j]) >= 6 * len(vals[i] | vals[j])}
+    want = {(0, i, j) for i in heads for j in heads if i < j and 10 * len(vals[i] & vals[j]) >= 6 * len(vals[i] | vals[j])}
     assert split == plain == want and len(want) > 100
 
 
