@@ -2,40 +2,100 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.session import stored
 
+#: Open matches that one task decides in a row; while there are more, rounds decide all items that can be decided at once.
+FEW = 300_000
 
-def leaders(edges: DataFrame, group: list[str]) -> DataFrame:
-    """(group..., item, leader) of every item with an earlier match in ``edges`` (group..., item, earlier); items and
-    matches are whole numbers in the order of the clustering, ``earlier`` < ``item``. ``leader`` is NULL where the item
-    leads itself. Items without edges lead.
 
-    Each round decides the items whose earlier matches up to the first leader are decided; the rounds end with the
-    longest chain of matches, and no task holds a group.
+def leaders(edges: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
+    """(group..., item, leader) of every item with an earlier match in ``edges`` (group..., item, earlier[, old]); items
+    and matches are whole numbers in the order of the clustering, ``earlier`` < ``item``. A match marked ``old`` leads
+    for certain, whatever its number. ``leader`` is the least match that leads, NULL where the item leads itself. Items
+    without edges lead.
+
+    A round decides the items that have a leading match or none that is open. Once the matches of open items are
+    ``few``, one task decides the rest in order, so that long chains of matches cost no rounds; the result is the same.
     """
-    edges = cut(edges.select(*group, "item", "earlier").distinct())
-    on = [*group, "earlier"]
-    state = cut(edges.select(*group, "item").distinct().withColumn("leads", F.lit(None).cast("boolean")))
-    while state.where("leads IS NULL").take(1):
-        seen = _against(edges, state, group, on)
-        state = cut(
-            state.join(seen, [*group, "item"], "left").select(
-                *group, "item",
-                F.coalesce("leads", F.when(F.col("hit"), F.lit(False)).when(~F.col("wait"), F.lit(True))).alias("leads"),
-            )
+    keys = [*group, "item"]
+    old = F.col("old") if "old" in edges.columns else F.lit(False)
+    edges = stored(edges.groupBy(*keys, "earlier").agg(F.max(old).alias("old")), "leader-edges")
+    state = edges.groupBy(*keys).agg(F.when(F.max("old"), F.lit(False)).alias("leads"))
+    while True:
+        state = stored(state, "leader-state")
+        open_ = _open(edges, state, group)
+        n = open_.count()
+        if n <= few:  # also where nothing is open any more
+            break
+        seen = open_.groupBy(*keys).agg(F.max(F.coalesce("their", F.lit(False))).alias("hit"), F.max(F.col("their").isNull()).alias("wait"))
+        # an item without any edge left has no match that leads
+        decided = F.when(F.col("hit"), F.lit(False)).when(~F.coalesce("wait", F.lit(False)), F.lit(True))
+        state = state.join(seen, _same(state, seen, keys), "left").select(*[state[k] for k in keys], F.coalesce("leads", decided).alias("leads"))
+    if n:
+        rest = stored(_in_a_row(open_, keys, group), "leader-rest")
+        state = stored(
+            state.join(rest.withColumnRenamed("leads", "late"), _same(state, rest, keys), "left").select(*[state[k] for k in keys], F.coalesce("leads", "late").alias("leads")),
+            "leader-state",
         )
-    known = state.select(*group, F.col("item").alias("earlier"), F.col("leads").alias("their"))
-    first = edges.join(known, on, "left").where("coalesce(their, true)").groupBy(*group, "item").agg(F.min("earlier").alias("leader"))
-    return cut(state.select(*group, "item").join(first, [*group, "item"], "left"))
-
-
-def _against(edges: DataFrame, state: DataFrame, group: list[str], on: list[str]) -> DataFrame:
-    """Per open item: ``hit`` if an earlier match leads, ``wait`` if one is open; a match without edges leads."""
-    known = state.select(*group, F.col("item").alias("earlier"), F.col("leads").alias("their"), F.lit(True).alias("listed"))
-    open_ = state.where("leads IS NULL").select(*group, "item")
-    told = edges.join(open_, [*group, "item"], "left_semi").join(known, on, "left")
-    leads = F.when(F.col("listed").isNull(), F.lit(True)).otherwise(F.col("their"))
-    return told.groupBy(*group, "item").agg(F.max(F.coalesce(leads, F.lit(False))).alias("hit"), F.max(leads.isNull()).alias("wait"))
+    told = _told(edges, state.withColumn("leads", F.coalesce("leads", F.lit(True))), group)
+    return stored(told.groupBy(*keys).agg(F.min(F.when(F.col("their"), F.col("earlier"))).alias("leader")), "leader-found")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]):
+    """Equal keys, NULL like any other value."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out
+
+
+def _told(edges: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """The edges with ``their``: does the earlier match lead, NULL while that is open; one without edges leads."""
+    known = state.select(*[F.col(k).alias(f"_{k}") for k in group], F.col("item").alias("_item"), F.col("leads").alias("_leads"), F.lit(True).alias("_listed"))
+    on = F.col("earlier") == F.col("_item")
+    for k in group:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    their = F.when(F.col("old") | F.col("_listed").isNull(), F.lit(True)).otherwise(F.col("_leads"))
+    return edges.join(known, on, "left").select(*group, "item", "earlier", their.alias("their"))
+
+
+def _open(edges: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
+    """The told edges of items that are not decided, without those to matches that do not lead."""
+    waiting = state.where("leads IS NULL").drop("leads")
+    return _told(edges.join(waiting, _same(edges, waiting, [*group, "item"]), "left_semi"), state, group).where("coalesce(their, true)")
+
+
+def _in_a_row(open_: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """(group..., item, leads) of the open items, by one walk in the order of items."""
+
+    types = ", ".join(f"{n} {t}" for n, t in open_.select(*keys).dtypes)
+    names = [*keys, "earlier", "their"]
+
+    def walk(batches):
+        joined, item, hit = set(), None, False  # the open items that join a leader
+        for batch in batches:
+            out = []
+            for *g, i, e, their in zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names]):
+                here = (*g, i)
+                if here != item:
+                    if item is not None:
+                        out.append((*item, not hit))
+                        if hit:
+                            joined.add(item)
+                    item, hit = here, False
+                hit = hit or their is True or (*g, e) not in joined
+            yield _rows(out, batch)
+            last = batch
+        if item is not None:
+            yield _rows([(*item, not hit)], last)
+
+    def _rows(out, like):
+        columns = [pa.array([r[n] for r in out], like.schema.field(k).type) for n, k in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in out], pa.bool_())], names=[*keys, "leads"])
+
+    one = open_.repartition(1).sortWithinPartitions("item", *group, "earlier")
+    return one.mapInArrow(walk, f"{types}, leads boolean")

@@ -88,6 +88,20 @@ def test_leaders_chain(spark):
     assert got == {2: 1, 3: None, 4: 3, 5: 1}
 
 
+def test_leaders_by_rounds_and_in_a_row(spark):
+    rng = random.Random(8)
+    edges = [(g, i, j, False) for g in ("a", "b", None) for i in range(2, 40) for j in range(1, i) if rng.random() < 0.08]
+    edges += [("c", i, i - 1, False) for i in range(2, 120)] + [("b", i, 1000 + i, True) for i in (7, 11, 12)]
+    want, leads = {}, {}
+    for g, i in sorted({(g, i) for g, i, _, _ in edges}, key=lambda x: x[1]):
+        hits = [j for h, k, j, old in edges if (h, k) == (g, i) and (old or leads.get((g, j), True))]
+        leads[g, i], want[g, i] = not hits, min(hits, default=None)
+    e = spark.createDataFrame(edges, "g string, item bigint, earlier bigint, old boolean")
+    for few in (0 if len(edges) < 50 else 40, 10**6):
+        assert {(r.g, r["item"]): r.leader for r in leaders(e, ["g"], few).collect()} == want
+    assert leaders(e.limit(0), ["g"]).count() == 0
+
+
 def test_similar_pairs_with_blocks(spark):
     rng = random.Random(2)
     items = [(c, i, "".join(rng.choice("abc") for _ in range(rng.randint(28, 40)))) for c in ("u", "v") for i in range(60)]
