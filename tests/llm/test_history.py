@@ -58,12 +58,41 @@ def test_like_brute_force_at_any_delivery_size(spark):
         assert {tuple(r) for r in history.repeated_files(files(spark, rows), m, size).collect()} == want
 
 
-def test_runs_are_compacted_and_empty_tables_allowed(spark):
+def text(rng, n=30):
+    return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+
+def test_runs_are_compacted_reopened_and_empty_tables_allowed(spark):
     h = history.History(spark)
     h.accept(files(spark, []).limit(0))
     for k in range(6):
+        h = history.History(spark, h.folder)  # another session
         assert h.ingest(files(spark, [(k, 1, f"text number {k} is unlike the others {k * 7} {k * 11}")])).count() == 0
-    assert all(len(p) <= history.MAX_RUNS for p in h.parts.values())
+    for kind in history.KINDS:
+        levels = [r["level"] for r in h.runs if r["kind"] == kind]
+        assert max(levels) == 1 and all(levels.count(x) <= history.MAX_RUNS for x in levels)
+        assert sum(x[3] for r in h.runs if r["kind"] == kind for x in r["ranges"]) == 6 * (history.KEYS if kind == "keys" else 1)
+    h = history.History(spark, h.folder)
     assert [tuple(r) for r in h.ingest(files(spark, [(9, 1, "text number 3 is unlike the others 21 33")])).collect()] == [(3, 9)]
+    h.drop()
     empty = spark.createDataFrame([], MANIFEST)
     assert history.repeated_files(files(spark, []).limit(0), empty).count() == 0
+
+
+def test_a_delivery_reads_only_the_ranges_it_touches(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(history, "KINDS", {k: (a, b, 20 if k == "keys" else 5) for k, (a, b, _) in history.KINDS.items()})
+    read = []
+    for n in (60, 180):
+        old = [(i, 0, text(rng)) for i in range(n)]
+        h = history.History(spark)
+        h.accept(files(spark, old))
+        near = old[7][2].split()
+        near[3] = "other"
+        assert [tuple(r) for r in h.ingest(files(spark, [(1000, 1, " ".join(near))])).collect()] == [(7, 1000)]
+        read.append(dict(h.last_read))
+        h.drop()
+    for kind, most in (("keys", history.KEYS), ("hashes", 1), ("sets", 1)):
+        (a, held_a), (b, held_b) = read[0][kind], read[1][kind]
+        assert a <= most and b <= most and held_b > 2.5 * held_a  # what is read does not grow with what is held
+    assert read[1]["keys"][0] < read[1]["keys"][1] / 4
