@@ -35,7 +35,7 @@ THRESHOLD, RUN_WORDS = 0.7, 3
 #: A pair at similarity 0.7 meets under no key with probability (1 - 0.7 ** 3) ** 24, about 4e-5.
 KEYS, KEY_HASHES = 24, 3
 #: Runs of one level that may pile up before they are merged.
-MAX_RUNS = 3
+MAX_RUNS = 7
 #: Of each kind of run: the columns, the one that it is sorted by, and the rows of a range, about.
 KINDS = {
     "keys": ("key bigint, n int, file_id bigint", "key", 500_000),
@@ -79,7 +79,7 @@ def sign(reps: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
                 with np.errstate(over="ignore"):
                     ks.append(mix((low.reshape(KEYS, KEY_HASHES) * odd).sum(axis=1, dtype=np.uint64) ^ salts).view(np.int64))
                 rs.append(r.view(np.int64))
-            yield pd.DataFrame({"file_id": pdf.file_id, "content_sha": pdf.content_sha, "n": [len(r) for r in rs], "runs": rs, "keys": ks})
+            yield pd.DataFrame({"file_id": pdf.file_id, "content_sha": pdf.content_sha, "n": [len(r) for r in rs], "runs": pd.Series(rs, dtype=object, index=pdf.index), "keys": pd.Series(ks, dtype=object, index=pdf.index)})
 
     return reps.mapInPandas(go, _SIGNED)
 
@@ -214,12 +214,16 @@ class History:
         beside = keyed.join(keyed.select(*theirs).hint("merge"), "key").where(window & (F.col("earlier") < F.col("file_id")))
         met = before.select("file_id", "earlier", F.lit(True).alias("old")).unionByName(beside.select("file_id", "earlier", F.lit(False).alias("old")))
         met = stored(met.distinct(), "history-met")  # pairs are few; a known size lets the planner leave the sets where they lie
-        own = reps.select(F.col("file_id").alias("earlier"), F.col("runs").alias("b"))
-        sets = self._read("sets", met.where("old").select("earlier").distinct()).select(F.col("file_id").alias("earlier"), F.col("runs").alias("b"))
+        # only sets that are needed travel: the ids of a side are narrow, and where they are few the planner sends them instead
+        wanted = stored(met.select("earlier").distinct(), "history-wanted")
+        own = reps.select(F.col("file_id").alias("earlier"), F.col("runs").alias("b")).join(wanted, "earlier", "left_semi")
+        sets = self._read("sets", wanted).select(F.col("file_id").alias("earlier"), F.col("runs").alias("b")).join(wanted, "earlier", "left_semi")
         both = met.where("old").join(sets, "earlier").unionByName(met.where("NOT old").join(own, "earlier"))
+        mine = stored(met.select("file_id").distinct(), "history-mine")
+        ours = reps.select("file_id", F.col("runs").alias("a")).join(mine, "file_id", "left_semi")
         shared = F.size(F.array_intersect("a", "b"))
         near = (
-            both.join(reps.select("file_id", F.col("runs").alias("a")), "file_id")
+            both.join(ours, "file_id")
             .where(shared >= threshold * (F.size("a") + F.size("b") - shared)).select("file_id", "earlier", "old")
         )
         edges = exact.unionByName(near).select(F.col("file_id").alias("item"), "earlier", "old")
@@ -236,7 +240,7 @@ class History:
         return stored(cases, "history-cases")
 
 
-def repeated_files(input_files: DataFrame, manifest: DataFrame, batches_per_delivery: int = 6) -> DataFrame:
+def repeated_files(input_files: DataFrame, manifest: DataFrame, batches_per_delivery: int = 8) -> DataFrame:
     """(earlier_file_id, file_id): batch 0 and the manifest are the history; later batches come in deliveries."""
     spark = input_files.sparkSession
     history = History(spark)

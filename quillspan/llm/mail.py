@@ -1,12 +1,15 @@
 """Mails reduced to the text newly written by their sender.
 
-Per thread, a pattern automaton is built from all sentences of earlier mails that come back in a mail and from the
-closing blocks of its senders; the mail is scanned, matched intervals are merged and subtracted. What no earlier mail
-holds is read from the mail's own form: header blocks, prefixed quotes, introductions of quoted or passed on text,
-closing formulas with what follows them, device notes, rulers and legal notices.
+Every mail is cut into pieces of about seven words at places that depend on the words alone, so that a quote has the same
+pieces however it is wrapped, and also where only part of a sentence is quoted. Per thread, a pattern automaton is built
+from those pieces of a mail that an earlier mail of the thread holds; the mail is scanned, matched intervals are merged
+and subtracted. Closing blocks are learned: short lines and whole paragraphs that stand at the ends of mails in several
+threads (formulas, legal notices), and lines that end several threads' mails of one sender (jobs, contacts). What neither
+shows is read from the mail's own form: header blocks, prefixed quotes, introductions of quoted or passed on text,
+signatures, device notes and rulers.
 
-A thread is never brought together in one task: sentences are matched by (thread, hash), the patterns that reach a
-mail are those of its own sentences that an earlier mail holds.
+A thread is never brought together in one task: pieces are matched by (thread, hash), lines by hash; what reaches a mail
+are those of its own pieces and lines that are known.
 
 Defined results: of a repeated (conv_id, turn) the row ingested last counts; a NULL or empty content has no new line;
 carriage returns before line feeds belong to the line end; mails with a NULL turn have no earlier mail. Extra columns
@@ -22,12 +25,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.words import hash64
+from quillspan.llm.words import WordHashes, hash64
 from quillspan.plans.blocks import latest
-from quillspan.session import cut
-
-#: Sentences below this length are too common to show that text was quoted.
-MIN_SENTENCE = 24
+from quillspan.session import stored
+
+#: Words on each side of the end of a piece that decide on it, and characters below which a piece is too common to show
+#: a quote.
+REACH, PIECE_CHARS = 3, 14
+#: Threads that a closing line or paragraph must end mails of: of any sender, of one sender.
+ANYONE, SAME_SENDER = 4, 2
+#: What a hash stands for: a piece of a mail, a line or paragraph of anyone, a line of one sender.
+PIECE, ANY_END, OWN_END = 0, 1, 2
+#: Of the mails that hold a line, the share in which it must stand at the end to count as a closing line.
+AT_END = 0.8
+#: Characters of a line up to which it may be learned by itself; paragraphs behind it up to which it stands at the end.
+SHORT, TAIL = 50, 3
 #: Share of a line's characters inside matched intervals from which the line counts as earlier text.
 COVERED = 0.8
 #: Characters in a row that must be covered before text without any mark of a quote counts as earlier text.
@@ -37,7 +49,6 @@ MIN_WRAPPED = 35
 
 _PREFIX = re.compile(r"^[ \t]*(?:[>|][ \t]?)+")
 _UNENDED = re.compile(r"[^\s.!?…:;)>|\"'”»][ \t]*$")
-_SENTENCE_END = re.compile(r"(?<=[.!?…:;]) |\n")
 
 # What mail programs and writers put around text, in the languages met.
 _HEADER = re.compile(
@@ -60,15 +71,8 @@ _PASSED_ON = re.compile(
     r"|mensaje (?:original|reenviado)|message (?:d'origine|original|transféré)|mensagem (?:original|encaminhada)|oorspronkelijk bericht|doorgestuurd bericht|исходное сообщение|пересылаемое сообщение)[-–—_ *:]{0,40}$",
     re.I,
 )
-_CLOSINGS = (
-    "best", "best regards", "best wishes", "kind regards", "warm regards", "regards", "warmly", "br", "rgds", "thx", "thanks", "many thanks", "thank you", "cheers",
-    "yours", "yours sincerely", "yours faithfully", "yours truly", "sincerely", "talk soon", "take care", "all the best",
-    "mit freundlichen grüßen", "mit freundlichem gruß", "freundliche grüße", "beste grüße", "viele grüße", "liebe grüße", "schöne grüße", "herzliche grüße", "gruß", "grüße", "lg", "mfg", "vg", "danke",
-    "cordialement", "bien cordialement", "bien à vous", "bonne journée", "salutations", "amicalement", "merci",
-    "saludos", "un saludo", "saludos cordiales", "atentamente", "un abrazo", "gracias", "cordialmente",
-    "atenciosamente", "um abraço", "abraços", "cumprimentos", "obrigado", "obrigada", "met vriendelijke groet", "groeten", "groetjes", "mvg", "bedankt",
-    "с уважением", "всего доброго", "спасибо", "с наилучшими пожеланиями",
-)
+# The plainest formulas; all others are learned.
+_CLOSINGS = ("best regards", "kind regards", "regards", "sincerely", "yours sincerely", "thanks", "best", "mit freundlichen grüßen", "cordialement", "saludos", "met vriendelijke groet", "с уважением")
 _CLOSING = re.compile(r"^(?:" + "|".join(sorted(map(re.escape, _CLOSINGS), key=len, reverse=True)) + r")(?:[ \t]*[,.!–—-]*[ \t]*$|[,.!–—-]*[ \t]+(?=\S))", re.I)
 _DEVICE = re.compile(
     r"^[-–— \t]*(?:sent (?:from|via|on|with)\b|get \S+ for \S+|(?:von unterwegs )?gesendet\b|von (?:meinem|unterwegs)\b|envoyé (?:de|depuis)\b|enviado (?:desde|do|de)\b|verzonden (?:vanaf|met)\b|отправлено с\b)", re.I
@@ -78,11 +82,7 @@ _IMAGE = re.compile(r"^[ \t]*(?:\[(?:image|cid|logo|signature|bild|photo|imagen)
 _CONTACT = re.compile(
     r"^[ \t]*(?:(?:tel|phone|mobile?|mob|fax|cell|m|t|p|e|e-?mail|web|telefon|handy|tél|teléfono|телефон)\b[.:]{0,2}[ \t]*[+(\d]|(?:https?://|www\.)\S+[ \t]*$|\S+@\S+\.\S+[ \t]*$|[+(]?\d[\d ()./-]{6,}$)", re.I
 )
-_LEGAL = re.compile(
-    r"^\W*confidential\w*\s*[:.!-]|\b(?:e-?mail|mail|message|contents?)\b.{0,60}\bconfidential|confidential.{0,90}\b(?:addressee|recipient|privileged|e-?mail|message)|privileged|intended (?:only|solely)|meant only for|addressee|unauthori[sz]ed|reached you by mistake|received (?:this|it) (?:\w+ )?in error|without consent|registered office|company number|scanned and stored|views in this mail|bind no company|no liability"
-    r"|think of the forest|before you print|(?:nachricht|mail).{0,60}vertraulich|genannten empfänger|irrtümlich|löschen sie|message.{0,40}confidentiel|diffusion non autorisée|(?:mensaje|mensagem|correo).{0,60}confidencial|destinatario|destinatário|(?:bericht|mail).{0,60}vertrouwelijk|geadresseerde|(?:сообщение|письмо).{0,60}конфиденциальн|адресат",
-    re.I,
-)
+_LEFT_OVER = re.compile(r"[^\W\d_]*[a-zà-öø-ÿа-я][^\W\d_]* ?.*[.?!]$|\d.*[.?!]$|[a-zà-öø-ÿа-я]")
 _POSTSCRIPT = re.compile(r"^[ \t]*(?:p\.?[ ]?p?\.?s\.?|nachtrag|з\.?ы\.?)(?:[ \t]*[:.\-–—]|[ \t]+(?=\S))", re.I)
 _NAME_LIKE = re.compile(r"^[-–—/ \t]*[^\W\d_][\w.'’-]*(?:[ \t]+[^\W\d_][\w.'’-]*){0,3}[ \t,]*$")
 _ADDRESSED = re.compile(
@@ -113,8 +113,81 @@ def flat(lines: list[str]) -> tuple[str, list[int]]:
     return "".join(parts), starts
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE_END.split(text) if len(s) >= MIN_SENTENCE]
+_store = WordHashes()
+
+
+def pieces(text: str) -> list[str]:
+    """The pieces of flat text as one run and, where they differ, of its parts between line feeds. A piece ends behind each word whose hash is the least among the REACH words before and
+    behind it, so that only the REACH words next to a cut see what stands beyond it, and no piece is shorter."""
+    parts = [part.split() for part in text.split("\n")]
+    return list(dict.fromkeys([*_pieces_of([w for part in parts for w in part]), *(p for part in parts for p in _pieces_of(part))]))
+
+
+def _pieces_of(words: list[str]) -> list[str]:
+    if not words:
+        return []
+    h = np.full(len(words) + 2 * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    h[REACH:-REACH] = _store.of(words)
+    near = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
+    least = near.argmin(axis=1) == REACH  # the first of equal ones
+    out, last = [], 0
+    for i in [*(np.flatnonzero(least) + 1).tolist(), len(words)]:
+        piece = " ".join(words[last:i])
+        if len(piece) >= PIECE_CHARS:
+            out.append(piece)
+        last = i
+    return out
+
+
+def _paragraphs(lines: list[str]) -> list[list[int]]:
+    """The numbers of the lines of each paragraph; a ruler is a paragraph of its own."""
+    out, here = [], []
+    for k, x in enumerate(lines):
+        if not x.strip() or _RULER.match(x):
+            if here:
+                out.append(here)
+            here = []
+            if x.strip():
+                out.append([k])
+        else:
+            here.append(k)
+    return [*out, here] if here else out
+
+
+def _plain(x: str, names: set[str]) -> str:
+    """A line as it is counted: lower case, digits alike, the sender's own names out, no marks at the end."""
+    words = ["0" if any(c.isdigit() for c in w) else w for w in re.findall(r"[^\W_]+|[|:@/]", x.lower())]
+    own = names | {w[0] for w in names}
+    return " ".join(w for w in words if w not in own)
+
+
+def closing_keys(lines: list[str], sender: str | None, old: np.ndarray) -> list[tuple[int, int, bool, list[int]]]:
+    """(scope, hash, at the end, lines) of the short lines and paragraphs of the own text; ANY_END counts over all mails,
+    OWN_END over those of the sender. Lines wrapped from a longer paragraph are left out."""
+    names, out = own_words(sender), []
+    who = " ".join(sorted(names))
+    blocks = [[k for k in p if not old[k]] for p in _paragraphs(lines)]
+    blocks = [p for p in blocks if p]
+    for i, p in enumerate(blocks):
+        end = len(blocks) - i - 1 <= TAIL
+        whole = _plain(" ".join(lines[k] for k in p), names)
+        if whole:
+            out.append((ANY_END, hash64("\x03" + whole), end, p))
+        if max(len(lines[k].strip()) for k in p) <= SHORT:
+            for k in p:
+                line = _plain(lines[k], names)
+                if line:
+                    if len(p) > 1:
+                        out.append((ANY_END, hash64("\x03" + line), end, [k]))
+                    if who:
+                        out.append((OWN_END, hash64(who + "\x02" + line), end, [k]))
+        else:  # short lines right above or below longer ones; those that only end a wrapped sentence stand anywhere
+            last = max(j for j, k in enumerate(p) if len(lines[k].strip()) > SHORT)
+            for k in {p[0], *p[last + 1 :]} - {p[last]}:
+                line = _plain(lines[k], names)
+                if line and len(lines[k].strip()) <= SHORT and not _LEFT_OVER.match(lines[k].strip()):
+                    out.append((ANY_END, hash64("\x03" + line), end, [k]))
+    return out
 
 
 def _is_intro(x: str) -> bool:
@@ -152,10 +225,10 @@ def _goes_on(quoted: str, line: str, known: bool) -> bool:
 
 
 def covered_lines(lines: list[str], known: set[int]) -> np.ndarray:
-    """Which lines lie in merged intervals that the automaton of the known sentences matches."""
+    """Which lines lie in merged intervals that the automaton of the known pieces matches."""
     out = np.zeros(len(lines), bool)
     text, starts = flat(lines)
-    patterns = {s for s in sentences(text) if hash64(s) in known} if known else set()
+    patterns = {s for s in pieces(text) if hash64(s) in known} if known else set()
     if not patterns:
         return out
     import ahocorasick
@@ -165,7 +238,7 @@ def covered_lines(lines: list[str], known: set[int]) -> np.ndarray:
         machine.add_word(p, len(p))
     machine.make_automaton()
     marks = np.zeros(len(text) + 2, np.int32)  # merged intervals, as marks summed up
-    for end, n in machine.iter(text):
+    for end, n in machine.iter(text.replace("\n", " ")):
         marks[end - n + 1] += 1
         marks[end + 1] -= 1
     hit = np.cumsum(marks) > 0
@@ -216,13 +289,12 @@ def closing_at(x: str) -> bool:
     return not rest or bool(_NAME_LIKE.match(rest) and len(rest) <= 40 and all(w[:1].isupper() for w in rest.split()))
 
 
-def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[int]) -> tuple[list[int], list[int]]:
-    """The numbers of the new lines, and of the lines of the closing block."""
+def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[int]) -> tuple[list[int], np.ndarray]:
+    """The numbers of the new lines, and which lines are earlier text."""
     n = len(lines)
     blank = [not x.strip() for x in lines]
     old = np.zeros(n, bool)
     covered = covered_lines(lines, known)
-    learned = np.array([hash64("\x01" + x.strip().lower()) in closing for x in lines], dtype=bool) if closing else np.zeros(n, bool)
     names = own_words(sender)
 
     i = 0
@@ -280,29 +352,40 @@ def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[
             if m and (m[1] or m[2][0].isupper()):
                 names = own_words(m[1] or m[2])
                 break
+    learned = np.zeros(n, bool)
+    if closing:
+        for _, h, _, ks in closing_keys(lines, sender, old):
+            if h in closing:
+                learned[ks] = True
     sign = _signature(lines, old, blank, learned, names, loose)
     gone = old | np.array(blank, dtype=bool)
     gone[sign] = True
-    return [k for k in range(n) if not gone[k]], [k for k in sign if not old[k]]
+    return [k for k in range(n) if not gone[k]], old
 
 
 def _signature(lines, old, blank, learned, names, loose) -> list[int]:
-    """Lines of closing formula, signature, device notes, rulers and legal notices in the own text."""
+    """Lines of closing formula, signature, device notes, rulers and learned closing blocks in the own text."""
     own = [k for k in range(len(lines)) if not old[k] and not blank[k]]
     sign: set[int] = set()
     first = None
     for at, k in enumerate(own):
-        if closing_at(lines[k]):
+        formula = closing_at(lines[k])
+        if formula or (learned[k] and len(lines[k].strip()) <= SHORT and not (k and learned[k - 1])):
             rest = own[at + 1 :]
-            body = sum(1 for r in rest if len(lines[r].strip()) > 60 and not _LEGAL.search(_joined(lines, r)) and not _in_postscript(lines, r))
-            if body == 0:
+            signed = bool(rest) and (formula or learned[k]) and _signs(lines[rest[0]], names)
+            ruled = next((i for i, r in enumerate(rest) if _RULER.match(lines[r])), len(rest)) if formula or signed else len(rest)
+            body = sum(1 for i, r in enumerate(rest) if i < ruled and len(lines[r].strip()) > 60 and not learned[r] and not _in_postscript(lines, r))
+            if body == 0 and (formula or signed or not rest or all(learned[r] or _is_sign(lines[r], names) or _in_postscript(lines, r) for r in rest)):
                 first = k
+                while at and not formula and (_is_sign(lines[own[at - 1]], names) or _is_name(lines, own[at - 1], names, loose)):
+                    at -= 1
+                    first = own[at]
                 break
     if first is None:  # no formula: the block of signature lines at the end
         for k in reversed(own):
             if _in_postscript(lines, k):
                 continue
-            if _is_sign(lines[k], names) or _LEGAL.search(_joined(lines, k)) or (learned[k] and len(lines[k].strip()) < 50):
+            if _is_sign(lines[k], names) or learned[k]:
                 first = k
                 continue
             if _is_name(lines, k, names, loose) or _is_role(lines, k, own, names, loose):
@@ -318,15 +401,10 @@ def _signature(lines, old, blank, learned, names, loose) -> list[int]:
     return sorted(sign)
 
 
-def _joined(lines: list[str], k: int) -> str:
-    """The paragraph around line ``k`` as one line."""
-    a = k
-    while a > 0 and lines[a - 1].strip() and k - a < 6:
-        a -= 1
-    b = k
-    while b + 1 < len(lines) and lines[b + 1].strip() and b - k < 6:
-        b += 1
-    return " ".join(x.strip() for x in lines[a : b + 1])
+def _signs(x: str, names: set[str]) -> bool:
+    """A line of only the sender's name or its first letter."""
+    words = re.findall(r"[^\W_]+", x.lower())
+    return bool(_INITIAL.match(x.strip())) or bool(words and names and len(words) <= 4 and all(w in names for w in words))
 
 
 def _in_postscript(lines: list[str], k: int) -> bool:
@@ -362,47 +440,66 @@ def mails(turns: DataFrame) -> DataFrame:
     return turns.where("lower(trim(source_format)) = 'email' AND conv_id IS NOT NULL AND content IS NOT NULL")
 
 
-def sentence_hashes(m: DataFrame) -> DataFrame:
-    """(conv_id, turn, h) of all sentences and closing lines."""
+def piece_hashes(m: DataFrame) -> DataFrame:
+    """(conv_id, turn, scope, h, end) of all pieces and of the lines and paragraphs that may be learned."""
 
     def go(batches):
         for pdf in batches:
-            rows = []
+            conv, turn, scope, hashes, ends = [], [], [], [], []
             for c, t, x, s in zip(pdf.conv_id, pdf.turn, pdf.content, pdf.sender):
                 lines = lines_of(x)
-                text, _ = flat(lines)
-                hs = {hash64(y) for y in sentences(text)}
-                _, sign = analyse(lines, s, set(), set())
-                hs |= {hash64("\x01" + lines[k].strip().lower()) for k in sign}
-                rows += [(c, t, h) for h in hs]
-            a = np.array([r[2] for r in rows], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"conv_id": [r[0] for r in rows], "turn": [r[1] for r in rows], "h": a})
+                hs = {(PIECE, hash64(y)): False for y in pieces(flat(lines)[0])} if t == t and t is not None else {}
+                _, old = analyse(lines, s, set(), set())
+                for sc, h, end, _ in closing_keys(lines, s, old):
+                    hs[sc, h] = hs.get((sc, h), False) or end
+                conv += [c] * len(hs)
+                turn += [t] * len(hs)
+                scope += [k[0] for k in hs]
+                hashes += [k[1] for k in hs]
+                ends += hs.values()
+            yield pd.DataFrame({"conv_id": conv, "turn": turn, "scope": scope, "h": np.array(hashes, dtype=np.uint64).view(np.int64), "end": np.array(ends, dtype=bool)})
+
+    return m.select("conv_id", "turn", "content", "sender").mapInPandas(go, "conv_id bigint, turn int, scope int, h bigint, end boolean")
+
+
+def known_pieces(hashes: DataFrame) -> DataFrame:
+    """(conv_id, turn, h): the pieces of each mail that an earlier mail of its thread holds."""
+    own = hashes.where(F.col("scope") == PIECE).select("conv_id", "turn", "h")
+    first = own.groupBy("conv_id", "h").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last")
+    return own.join(first.select("conv_id", "h", "first"), ["conv_id", "h"]).where("first < turn").select("conv_id", "turn", "h")
+
 
-    return m.select("conv_id", "turn", "content", "sender").where("turn IS NOT NULL").mapInPandas(go, "conv_id bigint, turn int, h bigint")
+def learned_closings(hashes: DataFrame) -> DataFrame:
+    """(h): the lines and paragraphs that end mails of enough threads, and stand elsewhere in few."""
+    threads = hashes.where(F.col("scope") != PIECE).groupBy("scope", "h", "conv_id").agg(F.max("end").alias("end"))
+    counts = threads.groupBy("scope", "h").agg(F.count("*").alias("n"), F.sum(F.col("end").cast("int")).alias("ends"))
+    need = F.when(F.col("scope") == ANY_END, F.lit(ANYONE)).otherwise(F.lit(SAME_SENDER))
+    return counts.where((F.col("ends") >= need) & (F.col("ends") >= AT_END * F.col("n"))).select("h")
 
 
 def _reduced(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, line_nos, text) of every mail."""
     m = mails(turns)
-    hashes = cut(sentence_hashes(m))  # used twice
-    first = hashes.groupBy("conv_id", "h").agg(F.min("turn").alias("first"), F.max("turn").alias("last")).where("first < last")
-    known = (
-        hashes.join(first.select("conv_id", "h", "first"), ["conv_id", "h"]).where("first < turn")
-        .groupBy("conv_id", "turn").agg(F.collect_set("h").alias("known"))  # at most the sentences of one mail
+    hashes = stored(piece_hashes(m), "mail-hashes")
+    closings = hashes.where(F.col("scope") != PIECE).select("conv_id", "turn", "h").join(learned_closings(hashes), "h").select("conv_id", "turn", "h")
+    known = known_pieces(hashes).withColumn("kind", F.lit(0)).unionByName(closings.withColumn("kind", F.lit(1)))
+    known = known.groupBy("conv_id", "turn").agg(  # at most the pieces and lines of one mail
+        F.collect_set(F.when(F.col("kind") == 0, F.col("h"))).alias("known"), F.collect_set(F.when(F.col("kind") == 1, F.col("h"))).alias("closing")
     )
     one = latest(m, ["conv_id", "turn"], F.col("ingested_at"), ["content", "sender"])
 
     def go(batches):
         for pdf in batches:
             rows = []
-            for c, t, x, s, k in zip(pdf.conv_id, pdf.turn, pdf.content, pdf.sender, pdf.known):
+            for c, t, x, s, k, e in zip(pdf.conv_id, pdf.turn, pdf.content, pdf.sender, pdf.known, pdf.closing):
                 lines = lines_of(x)
-                seen = set(np.asarray(k, dtype=np.int64).view(np.uint64).tolist()) if k is not None else set()
-                new = analyse(lines, s, seen, seen)[0]
+                seen, ends = (set(np.asarray(v, dtype=np.int64).view(np.uint64).tolist()) if v is not None else set() for v in (k, e))
+                new = analyse(lines, s, seen, ends)[0]
                 rows.append((c, t, new, "\n".join(lines[i] for i in new)))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "line_nos", "text"])
 
-    joined = one.join(known, ["conv_id", "turn"], "left").select("conv_id", "turn", "content", "sender", "known")
+    same = (one.conv_id == known.conv_id) & one.turn.eqNullSafe(known.turn)
+    joined = one.join(known, same, "left").select(one.conv_id, one.turn, "content", "sender", "known", "closing")
     return joined.mapInPandas(go, "conv_id bigint, turn int, line_nos array<int>, text string")
 
 

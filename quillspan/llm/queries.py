@@ -20,8 +20,8 @@ def _p2_chunks(spark, d):
     return splitting.plan_chunks(splitting.latest_turns(read(spark, d, "turns"), splitting.MAX_CHARS)).drop("turns")
 
 
-def _leaks(spark, d):
-    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"))
+def _leaks(spark, d, **how):
+    return leaks.leaks(read(spark, d, "documents"), read(spark, d, "eval_items"), **how)
 
 
 def _mixture(spark, d):
@@ -40,7 +40,7 @@ def queries() -> dict[str, Query]:
         "p5_verdicts": lambda spark, d: threads.verdicts(read(spark, d, "chat_sessions"), read(spark, d, "messages")),
         "p6_found": lambda spark, d: mail.new_lines(read(spark, d, "turns")),
         "p6_texts": lambda spark, d: mail.new_texts(read(spark, d, "turns")),
-        "p7_found": lambda spark, d: _leaks(spark, d).select("doc_id", "item_id"),
+        "p7_found": lambda spark, d: _leaks(spark, d, coverage=None).select("doc_id", "item_id"),
         "p7_report": _leaks,
         "p8_found": lambda spark, d: _mixture(spark, d).report().where("short").select("source"),
         "p8_report": lambda spark, d: _mixture(spark, d).report(),

@@ -10,6 +10,32 @@ def new(content, sender="Ada Byron <ada@x.example>"):
     return [lines[k] for k in mail.analyse(lines, sender, set(), set())[0]]
 
 
+def test_pieces_do_not_depend_on_what_stands_around():
+    words = [f"word{i}" for i in range(400)]
+    whole, part = mail.pieces(" ".join(words)), mail.pieces(" ".join(words[37:351]))
+    assert len(set(part) & set(whole)) >= len(part) - 2 and len(part) > 15
+
+
+def test_part_of_a_quoted_sentence_is_found():
+    old = " ".join(f"earlier{i} talk{i}" for i in range(60))
+    known = {mail.hash64(p) for p in mail.pieces(old)}
+    part = " ".join(old.split()[9:100])
+    lines = ["Right, see below.", "", *[" ".join(part.split()[i : i + 6]) for i in range(0, 91, 6)]]
+    covered = mail.covered_lines(lines, known)
+    assert not covered[0] and covered[5:-2].all()
+
+
+def test_closings_are_learned_from_many_threads(spark):
+    notice = "Whoever reads this page without being asked\nmust forget it before the next full moon rises."
+    rows, say = [], lambda k: f"{'abcdef'[k]}lpha {'ghijkl'[k]}amma speaks of {'mnopqr'[k]}hinges, and of nothing else that matters."
+    for k in range(6):
+        rows.append((k, 0, f"Hello,\n\n{say(k)}\n\nToodle pip\nAda\nKeeper of Maps\n\n{notice}", "email", "Ada Byron <ada@x.example>", None, None, None))
+    rows.append((9, 0, f"Another thing altogether that was not said before.\n\nToodle pip, Bo\n\n{notice}", "email", "Bo Key", None, None, None))
+    got = {r.conv_id: r.text for r in mail.new_texts(spark.createDataFrame(rows, T)).collect()}
+    assert got[9] == "Another thing altogether that was not said before."
+    assert all(got[k] == f"Hello,\n{say(k)}" for k in range(6))
+
+
 def test_header_closing_and_signature():
     t = f"From: Ada Byron <ada@x.example>\nSent: 1 Jan 2025\nTo: Bo\nSubject: x\n\nHi Bo,\n\n{ONE}\n- {TWO}\n\nBest regards,\nAda\nEditor, Lower Annex\nTel. 000 555 0100\n[image: logo]\n\nP.S. {TWO}\n\n-----\nThis message is confidential and meant only for the addressee."
     assert new(t) == ["Hi Bo,", ONE, f"- {TWO}", f"P.S. {TWO}"]
