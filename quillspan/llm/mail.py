@@ -82,6 +82,7 @@ _IMAGE = re.compile(r"^[ \t]*(?:\[(?:image|cid|logo|signature|bild|photo|imagen)
 _CONTACT = re.compile(
     r"^[ \t]*(?:(?:tel|phone|mobile?|mob|fax|cell|m|t|p|e|e-?mail|web|telefon|handy|tél|teléfono|телефон)\b[.:]{0,2}[ \t]*[+(\d]|(?:https?://|www\.)\S+[ \t]*$|\S+@\S+\.\S+[ \t]*$|[+(]?\d[\d ()./-]{6,}$)", re.I
 )
+_NUMBERED, _PARTS = re.compile(r"[^\W_]*\d[^\W_]*"), re.compile(r"[^\W_]+|[|:@/]")
 _LEFT_OVER = re.compile(r"[^\W\d_]*[a-zà-öø-ÿа-я][^\W\d_]* ?.*[.?!]$|\d.*[.?!]$|[a-zà-öø-ÿа-я]")
 _POSTSCRIPT = re.compile(r"^[ \t]*(?:p\.?[ ]?p?\.?s\.?|nachtrag|з\.?ы\.?)(?:[ \t]*[:.\-–—]|[ \t]+(?=\S))", re.I)
 _NAME_LIKE = re.compile(r"^[-–—/ \t]*[^\W\d_][\w.'’-]*(?:[ \t]+[^\W\d_][\w.'’-]*){0,3}[ \t,]*$")
@@ -100,7 +101,7 @@ def flat(lines: list[str]) -> tuple[str, list[int]]:
     A line feed stands where a sentence cannot go on: at blank lines, behind header lines and greetings."""
     starts, parts, at, stop = [], [], 0, False
     for x in lines:
-        bare = _PREFIX.sub("", x)
+        bare = _PREFIX.sub("", x) if x.lstrip()[:1] in (">", "|") else x
         y = " ".join(bare.split()).lower()
         if parts and y:
             parts.append("\n" if stop else " ")
@@ -109,7 +110,7 @@ def flat(lines: list[str]) -> tuple[str, list[int]]:
         if y:
             parts.append(y)
             at += len(y)
-        stop = not y or bool(_HEADER.match(bare)) or (len(y) < 32 and y[-1] in ",:-")
+        stop = not y or (":" in y[:24] and bool(_HEADER.match(bare))) or (len(y) < 32 and y[-1] in ",:-")
     return "".join(parts), starts
 
 
@@ -120,22 +121,31 @@ def pieces(text: str) -> list[str]:
     """The pieces of flat text as one run and, where they differ, of its parts between line feeds. A piece ends behind each word whose hash is the least among the REACH words before and
     behind it, so that only the REACH words next to a cut see what stands beyond it, and no piece is shorter."""
     parts = [part.split() for part in text.split("\n")]
-    return list(dict.fromkeys([*_pieces_of([w for part in parts for w in part]), *(p for part in parts for p in _pieces_of(part))]))
-
-
-def _pieces_of(words: list[str]) -> list[str]:
+    words = [w for part in parts for w in part]
     if not words:
         return []
-    h = np.full(len(words) + 2 * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)
-    h[REACH:-REACH] = _store.of(words)
-    near = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1)
-    least = near.argmin(axis=1) == REACH  # the first of equal ones
-    out, last = [], 0
-    for i in [*(np.flatnonzero(least) + 1).tolist(), len(words)]:
-        piece = " ".join(words[last:i])
-        if len(piece) >= PIECE_CHARS:
-            out.append(piece)
-        last = i
+    h, far = _store.of(words), np.iinfo(np.uint64).max
+    breaks = np.cumsum([len(part) for part in parts])
+    apart = np.full(len(words) + REACH * len(parts), far, dtype=np.uint64)  # the parts with REACH barriers behind each
+    place = np.arange(len(words)) + REACH * np.repeat(np.arange(len(parts)), [len(part) for part in parts])
+    apart[place] = h
+    out: dict[str, None] = {}
+    for ends in ({*(np.flatnonzero(_least(h, far)) + 1).tolist()}, {*(np.flatnonzero(_least(apart, far)[place]) + 1).tolist(), *breaks.tolist()}):
+        last = 0
+        for i in sorted(ends | {len(words)}):
+            piece = " ".join(words[last:i])
+            if len(piece) >= PIECE_CHARS:
+                out[piece] = None
+            last = i
+    return list(out)
+
+
+def _least(h: np.ndarray, far: int) -> np.ndarray:
+    """Which values are less than the REACH values before them and not above the REACH behind."""
+    out = h < far
+    for k in range(1, REACH + 1):
+        out[k:] &= h[k:] < h[:-k]
+        out[:-k] &= h[:-k] <= h[k:]
     return out
 
 
@@ -156,13 +166,13 @@ def _paragraphs(lines: list[str]) -> list[list[int]]:
 
 def _plain(x: str, names: set[str]) -> str:
     """A line as it is counted: lower case, digits alike, the sender's own names out, no marks at the end."""
-    words = ["0" if any(c.isdigit() for c in w) else w for w in re.findall(r"[^\W_]+|[|:@/]", x.lower())]
+    words = _PARTS.findall(_NUMBERED.sub("0", x.lower()))
     own = names | {w[0] for w in names}
     return " ".join(w for w in words if w not in own)
 
 
 def closing_keys(lines: list[str], sender: str | None, old: np.ndarray) -> list[tuple[int, int, bool, list[int]]]:
-    """(scope, hash, at the end, lines) of the short lines and paragraphs of the own text; ANY_END counts over all mails,
+    """(scope, hash, at the end, lines) of the short lines of the own text and of its last paragraphs; ANY_END counts over all mails,
     OWN_END over those of the sender. Lines wrapped from a longer paragraph are left out."""
     names, out = own_words(sender), []
     who = " ".join(sorted(names))
@@ -170,7 +180,7 @@ def closing_keys(lines: list[str], sender: str | None, old: np.ndarray) -> list[
     blocks = [p for p in blocks if p]
     for i, p in enumerate(blocks):
         end = len(blocks) - i - 1 <= TAIL
-        whole = _plain(" ".join(lines[k] for k in p), names)
+        whole = _plain(" ".join(lines[k] for k in p), names) if end else ""
         if whole:
             out.append((ANY_END, hash64("\x03" + whole), end, p))
         if max(len(lines[k].strip()) for k in p) <= SHORT:
@@ -227,8 +237,10 @@ def _goes_on(quoted: str, line: str, known: bool) -> bool:
 def covered_lines(lines: list[str], known: set[int]) -> np.ndarray:
     """Which lines lie in merged intervals that the automaton of the known pieces matches."""
     out = np.zeros(len(lines), bool)
+    if not known:
+        return out
     text, starts = flat(lines)
-    patterns = {s for s in pieces(text) if hash64(s) in known} if known else set()
+    patterns = {s for s in pieces(text) if hash64(s) in known}
     if not patterns:
         return out
     import ahocorasick
@@ -289,8 +301,8 @@ def closing_at(x: str) -> bool:
     return not rest or bool(_NAME_LIKE.match(rest) and len(rest) <= 40 and all(w[:1].isupper() for w in rest.split()))
 
 
-def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[int]) -> tuple[list[int], np.ndarray]:
-    """The numbers of the new lines, and which lines are earlier text."""
+def earlier_text(lines: list[str], sender: str | None, known: set[int]) -> tuple[np.ndarray, set[str]]:
+    """Which lines are earlier text, and the names of the sender as far as the mail shows them."""
     n = len(lines)
     blank = [not x.strip() for x in lines]
     old = np.zeros(n, bool)
@@ -345,22 +357,28 @@ def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[
     for k in range(1, n):  # an earlier line that lost its mark inside a quote
         if covered[k] and not old[k] and _PREFIX.match(lines[k - 1]) and (k + 1 == n or blank[k + 1] or _PREFIX.match(lines[k + 1])):
             old[k] = True
-    loose = not names
-    if loose:  # the sender is whom the quoted mail speaks to
+    if not names:  # the sender is whom the quoted mail speaks to
         for k in range(n):
             m = _ADDRESSED.match(_PREFIX.sub("", lines[k])) if old[k] else None
             if m and (m[1] or m[2][0].isupper()):
                 names = own_words(m[1] or m[2])
                 break
+    return old, names
+
+
+def analyse(lines: list[str], sender: str | None, known: set[int], closing: set[int]) -> list[int]:
+    """The numbers of the new lines."""
+    old, names = earlier_text(lines, sender, known)
+    n = len(lines)
+    blank = np.array([not x.strip() for x in lines], dtype=bool)
     learned = np.zeros(n, bool)
     if closing:
         for _, h, _, ks in closing_keys(lines, sender, old):
             if h in closing:
                 learned[ks] = True
-    sign = _signature(lines, old, blank, learned, names, loose)
-    gone = old | np.array(blank, dtype=bool)
-    gone[sign] = True
-    return [k for k in range(n) if not gone[k]], old
+    gone = old | blank
+    gone[_signature(lines, old, blank, learned, names, not own_words(sender))] = True
+    return [k for k in range(n) if not gone[k]]
 
 
 def _signature(lines, old, blank, learned, names, loose) -> list[int]:
@@ -449,7 +467,7 @@ def piece_hashes(m: DataFrame) -> DataFrame:
             for c, t, x, s in zip(pdf.conv_id, pdf.turn, pdf.content, pdf.sender):
                 lines = lines_of(x)
                 hs = {(PIECE, hash64(y)): False for y in pieces(flat(lines)[0])} if t == t and t is not None else {}
-                _, old = analyse(lines, s, set(), set())
+                old, _ = earlier_text(lines, s, set())
                 for sc, h, end, _ in closing_keys(lines, s, old):
                     hs[sc, h] = hs.get((sc, h), False) or end
                 conv += [c] * len(hs)
@@ -494,7 +512,7 @@ def _reduced(turns: DataFrame) -> DataFrame:
             for c, t, x, s, k, e in zip(pdf.conv_id, pdf.turn, pdf.content, pdf.sender, pdf.known, pdf.closing):
                 lines = lines_of(x)
                 seen, ends = (set(np.asarray(v, dtype=np.int64).view(np.uint64).tolist()) if v is not None else set() for v in (k, e))
-                new = analyse(lines, s, seen, ends)[0]
+                new = analyse(lines, s, seen, ends)
                 rows.append((c, t, new, "\n".join(lines[i] for i in new)))
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "line_nos", "text"])
 

@@ -7,7 +7,7 @@ TWO = "We should rename the field notebook after the trial."
 
 def new(content, sender="Ada Byron <ada@x.example>"):
     lines = mail.lines_of(content)
-    return [lines[k] for k in mail.analyse(lines, sender, set(), set())[0]]
+    return [lines[k] for k in mail.analyse(lines, sender, set(), set())]
 
 
 def test_pieces_do_not_depend_on_what_stands_around():
