@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from quillspan.functions import scan
+from quillspan.functions import speakers
 from quillspan.functions import text as T
 from quillspan.functions.unicode import nfc
 from quillspan.operators import chunks, layout, passes
@@ -115,11 +114,7 @@ def _text_turns(form, kinds):
 
 
 def _markup(spark, d):
-    @pandas_udf("string")
-    def f(s):
-        return s.map(lambda x: scan.clean_markup(x or ""))
-
-    return read(spark, d, "documents").select("doc_id", f("text").alias("content"))
+    return read(spark, d, "documents").select("doc_id", speakers.clean_markup("text").alias("content"))
 
 
 def _formats(spark, d):

@@ -12,15 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
-from quillspan.functions import scan
+from quillspan.functions import speakers
 from quillspan.functions.text import strip
 
 # The file types that are read, and the names of formats.
 SUFFIXES = (".md", ".txt", ".json", ".pdf", ".docx")
 FORMATS = ("claude-json", "chatgpt-json", "markdown", "copilot", "plaintext", "pdf", "docx")
-TURN = "array<struct<role:string,content:string>>"
 
 
 def list_inputs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,11 +43,6 @@ def decode(c) -> Column:
     return _decode(F.col(c) if isinstance(c, str) else c)
 
 
-@pandas_udf(BooleanType())
-def _copilot(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: scan.looks_copilot(x or ""))
-
-
 def detect_format(name, content) -> Column:
     """The format of a file by its name's suffix and its text; JSON that is none is plain text."""
     name, content = (F.col(x) if isinstance(x, str) else x for x in (name, content))
@@ -62,23 +56,15 @@ def detect_format(name, content) -> Column:
         .when((suffix == ".json") & (doc.isNull() | first.isNull()), "plaintext")
         .when((suffix == ".json") & F.coalesce(chatgpt, F.lit(False)), "chatgpt-json")
         .when(suffix == ".json", "claude-json")
-        .when(_copilot(content), "copilot")
+        .when(speakers.looks_copilot(content), "copilot")
         .when(suffix == ".md", "markdown").otherwise("plaintext")
     )
 
 
-def _turns(f):
-    @pandas_udf(TURN)
-    def g(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"role": r, "content": c} for r, c in f(x or "")])
-
-    return g
-
-
 def text_turns(files: DataFrame, form: str) -> DataFrame:
     """Turns of markdown, copilot or plaintext files (also of text taken from pdf and docx)."""
-    f = {"markdown": scan.speaker_turns, "copilot": lambda x: scan.speaker_turns(x, True)}.get(form, scan.plain_turns)
-    return files.select("file_id", F.posexplode(_turns(f)("content")).alias("turn", "t")).select(
+    turns = speakers.plain_turns("content") if form not in ("markdown", "copilot") else speakers.speaker_turns("content", form == "copilot")
+    return files.select("file_id", F.posexplode(turns).alias("turn", "t")).select(
         "file_id", F.lit(0).alias("conv_no"), F.lit(None).cast("string").alias("session"), "turn", "t.role", "t.content", F.lit(None).cast("string").alias("timestamp")
     )
 

@@ -72,18 +72,6 @@ def test_contents(n, kept):
     assert ("Part 0" in scan.clean_contents(t)) is kept
 
 
-def test_speakers():
-    t = "before\n**Human**: hi\nmore\n```\nAI: code\n```\n## Assistant\n<b>yes</b>\nCopy code\nNobody: z\nUser:\n"
-    assert scan.speaker_turns(t) == [("human", "before"), ("human", "hi\nmore\n```\nAI: code\n```"), ("assistant", "yes\nNobody: z")]
-    assert scan.speaker_turns("") == [] and scan.plain_turns("only text") == [("human", "only text")]
-
-
-def test_copilot():
-    t = "You said:\nwhat [1]\nCopilot said:\nthis²\n[1]: http://x\nLearn more\n"
-    assert scan.speaker_turns(t, True) == [("human", "what"), ("assistant", "this")]
-    assert scan.looks_copilot(t) and not scan.looks_copilot("a\nb")
-
-
 def test_quotes():
     blocks = scan.quote_blocks("a\nOn Monday x wrote:\n> b\n\n> c\nd")
     assert [q for q, _ in blocks] == [False, True, False]
