@@ -26,10 +26,12 @@ CONFIDENCE = ("high", "speculative", "medium")
 DOMAINS = ("structural-engineering", "software", "strategy", "brand", "lab-ops", "general")
 MERGE_SIMILARITY = 0.85
 
-_META = re.compile(r"\A\s*---\s*\n(.*?)\n---\s*\n?", re.S)
-_HEADING = re.compile(r"^#\s+(.+?)\s*$", re.M)
-_LINK = re.compile(r"\[\[([^\]|#]+)(\|[^\]]*)?\]\]")
-_NOTE = "title string, type string, source_domain string, confidence string, status string, tags array<string>, related array<string>, cross_links array<string>, extra map<string,string>, body string"
+# Metadata in front of a note, and a first-level heading.
+FRONT = r"(?s)\A\s*---\s*\n(.*?)\n---\s*\n?"
+_HEADING = r"(?dmU)^#\s+(.+?)\s*$"
+_FIELDS = ("title", "type", "source_domain", "confidence", "status")
+_LISTS = ("tags", "related", "cross_links")
+_NOTE = ", ".join([*(f"{c} string" for c in _FIELDS), *(f"{c} array<string>" for c in _LISTS), "extra map<string,string>"])
 
 
 def blocks(df: DataFrame, text: str) -> DataFrame:
@@ -39,47 +41,42 @@ def blocks(df: DataFrame, text: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != text], F.posexplode(F.split(freed, BREAK)).alias("block_no", "block")).where(strip("block") != "")
 
 
-def _listed(v) -> list[str] | None:
-    if isinstance(v, list):
-        return [str(x) for x in v]
-    return [str(v)] if v else None
+def _as_list(v) -> list[str] | None:
+    if v is None or v == "" or v is False:
+        return None
+    return list(map(str, v)) if isinstance(v, list) else [str(v)]
 
 
-def parse_block(text: str | None) -> dict | None:
-    """One note of a block; None where no title can be found. Broken or non-mapping metadata counts as none."""
+def metadata(front) -> Column:
+    """Metadata text as a struct of the known fields, lists and ``extra``; NULL, broken or not a mapping counts as empty."""
     import yaml
 
-    text = (text or "").strip()
-    meta, body = {}, text
-    if m := _META.match(text):
-        try:
-            loaded = yaml.safe_load(m[1])
-        except (yaml.YAMLError, ValueError):
-            loaded = None
-        meta, body = (dict(loaded) if isinstance(loaded, dict) else {}), text[m.end() :].strip()
-    title = str(meta.pop("title", None) or "").strip()
-    if not title and (h := _HEADING.search(body)):
-        title = h[1].strip()
-    if not title:
-        title = next((x.strip() for x in body.splitlines() if x.strip()), "").lstrip("#").strip()[:80]
-    if not title:
-        return None
-    known = ("type", "source_domain", "confidence", "status")
-    out = {k: None if meta.get(k) is None else str(meta[k]) for k in known}
-    out |= {k: _listed(meta.get(k)) for k in ("tags", "related", "cross_links")}
-    rest = {str(k): json.dumps(v, default=str, ensure_ascii=False) for k, v in meta.items() if k not in out}
-    return {"title": title, **out, "extra": rest, "body": body}
+    @pandas_udf(_NOTE)
+    def load(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in texts:
+            try:
+                found = yaml.safe_load(x) if x else None
+            except (yaml.YAMLError, ValueError):
+                found = None
+            found = {str(k): v for k, v in found.items()} if isinstance(found, dict) else {}
+            row = {c: None if found.get(c) is None else str(found[c]) for c in _FIELDS} | {c: _as_list(found.get(c)) for c in _LISTS}
+            rows.append(row | {"extra": {k: json.dumps(v, default=str, ensure_ascii=False) for k, v in found.items() if k not in row}})
+        return pd.DataFrame(rows, columns=[*_FIELDS, *_LISTS, "extra"])
 
+    return load(front)
 
-def parse(df: DataFrame, block: str = "block") -> DataFrame:
-    """Replaces ``block`` by the note's columns; blocks without a title are dropped."""
 
-    @pandas_udf(_NOTE)
-    def f(s: pd.Series) -> pd.DataFrame:
-        empty = dict.fromkeys(("title", "type", "source_domain", "confidence", "status", "tags", "related", "cross_links", "extra", "body"))
-        return pd.DataFrame([parse_block(x) or empty for x in s], columns=list(empty))
-
-    return df.withColumn("_n", f(block)).where("_n.title IS NOT NULL").select(*[c for c in df.columns if c != block], "_n.*")
+def parse(df: DataFrame, block: str = "block") -> DataFrame:
+    """Replaces ``block`` by the note's columns. The title is that of the metadata, else the first heading's, else the
+    first line; blocks without any are dropped. Only the metadata text goes through Python."""
+    text = F.coalesce(strip(block), F.lit(""))
+    front = F.when(text.rlike(FRONT), F.regexp_extract(text, FRONT, 1))
+    named = df.withColumn("_m", metadata(front)).withColumn("body", F.when(text.rlike(FRONT), strip(F.regexp_replace(text, FRONT, ""))).otherwise(text))
+    first = F.regexp_replace(strip(F.regexp_extract("body", r"\A([^\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]*)", 1)), "^#+", "")
+    title = F.coalesce(*[F.nullif(x, F.lit("")) for x in (strip("_m.title"), F.regexp_extract("body", _HEADING, 1), F.substring(strip(first), 1, 80))])
+    rest = [F.col(f"_m.{c}").alias(c) for c in (*_FIELDS[1:], *_LISTS, "extra")]
+    return named.withColumn("_t", title).where("_t IS NOT NULL").select(*[c for c in df.columns if c != block], F.col("_t").alias("title"), *rest, "body")
 
 
 def one_of(c, words: tuple[str, ...]) -> Column:
@@ -126,27 +123,21 @@ def repoint(notes: DataFrame, titles: DataFrame, group: str, order: str) -> Data
     needed = asked.join(titles, [group, "title_key"]).where(F.lower("survivor") != F.col("title_key"))
     maps = needed.groupBy(group, order).agg(F.map_from_entries(F.collect_list(F.struct("title_key", "survivor"))).alias("_m"))  # at most the links of one note
 
-    @pandas_udf("string")
-    def body(s: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([x if t is None or x is None else rewrite(x, dict(t)) for x, t in zip(s, m)])
-
-    @pandas_udf("array<string>")
-    def listed(s: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else list(dict.fromkeys(y if t is None else rewrite(y, dict(t)) for y in x)) for x, t in zip(s, m)])
-
     out = notes.join(maps, [group, order], "left")
-    return out.withColumn("body", body("body", "_m")).withColumn("related", listed("related", "_m")).drop("_m")
-
+    listed = F.array_distinct(F.transform("related", lambda x: with_survivors(x, F.col("_m"))))
+    return out.withColumn("body", with_survivors(F.col("body"), F.col("_m"))).withColumn("related", listed).drop("_m")
 
-def rewrite(text: str, survivors: dict[str, str]) -> str:
-    """Link targets replaced by their survivors, shown text kept."""
 
-    def one(m):
-        key = m[1].strip().lower()
-        new = survivors.get(key)
-        return m[0] if not new or new.lower() == key else f"[[{new}{m[2] or ''}]]"
+def with_survivors(text: Column, survivors: Column) -> Column:
+    """Link targets replaced by what ``survivors`` (map of lower-case titles) gives for them; shown text is kept. Cut at
+    opening brackets, each part but the first begins with a target."""
+    def one(part, i):
+        target = F.regexp_extract(part, r"\A([^\]|#]+)(?=(?:\|[^\]]*)?\]\])", 1)
+        new = F.try_element_at(survivors, F.lower(strip(target)))
+        changed = (i > 0) & (target != "") & (new != "") & (F.lower(new) != F.lower(strip(target)))
+        return F.when(changed, F.concat(new, F.substring(part, F.length(target) + 1, F.length(part)))).otherwise(part)
 
-    return _LINK.sub(one, text)
+    return F.when(survivors.isNull(), text).otherwise(F.array_join(F.transform(F.split(text, r"\[\[", -1), one), "[["))
 
 
 def index_note(notes: DataFrame, group: str, order: str) -> DataFrame:

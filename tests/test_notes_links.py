@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,10 @@ def test_normalise_and_render(spark):
     assert r.select(notes.render(r, ["type", "created", "tags"]).alias("d")).first().d == "---\ntype: insight\ncreated: '2025-01-01'\ntags:\n- a\n---\n\n# T\n\nb\n"
 
 
+def rewritten(text, survivors):
+    return re.sub(r"\[\[([^\]|#]+)(\|[^\]]*)?\]\]", lambda m: f"[[{survivors.get(m[1].strip().lower(), m[1])}{m[2] or ''}]]", text)
+
+
 def test_merge_like_a_walk(spark):
     rng = random.Random(3)
     base = ["alpha beam test", "gamma ray burst", "delta wing notes"]
@@ -75,11 +80,13 @@ def test_merge_like_a_walk(spark):
     got = {r.n: r for r in notes.merge(df, "g", "n")[0].collect()}
     assert [got[k].title for k in sorted(got)] == kept
     for k, r in got.items():
-        assert r.body == notes.rewrite(rows[k][3], where)
+        assert r.body == rewritten(rows[k][3], where)
 
 
-def test_rewrite_keeps_alias_and_anchors():
-    assert notes.rewrite("[[ A |x]] [[A#b]] [[C]]", {"a": "B"}) == "[[B|x]] [[A#b]] [[C]]"
+def test_survivors_keep_alias_and_anchors(spark):
+    df = spark.createDataFrame([("[[ A |x]] [[A#b]] [[C]] [[a", {"a": "B"}), ("[[A]]", None), (None, {"a": "B"}), ("[[a]]", {"a": "A"})], "t string, m map<string,string>")
+    got = [r.v for r in df.select(notes.with_survivors(F.col("t"), F.col("m")).alias("v")).collect()]
+    assert got == ["[[B|x]] [[A#b]] [[C]] [[a", "[[A]]", None, "[[a]]"]
 
 
 def test_leaders_chain(spark):
