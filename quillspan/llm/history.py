@@ -20,6 +20,7 @@ Extra columns are ignored. Ties do not occur, as ids are unique.
 from __future__ import annotations
 
 import json
+import math
 import uuid
 
 import numpy as np
@@ -34,9 +35,9 @@ from quillspan.session import scratch_table, stored
 THRESHOLD, RUN_WORDS = 0.7, 3
 #: A pair at similarity 0.7 meets under no key with probability (1 - 0.7 ** 3) ** 24, about 4e-5.
 KEYS, KEY_HASHES = 24, 3
-#: Bits of a sketch, one of each of as many minwise hashes, and differing bits from which a pair is not looked at: two texts
-#: at similarity 0.7 differ in 0.15 of them on average and in more than these with probability 2e-7.
-BITS, APART = 128, 40
+#: Bits of a sketch, one of each of as many minwise hashes, and deviations above the mean up to which pairs at the
+#: threshold may differ in them: more with probability 2e-7.
+BITS, DEVIATIONS = 128, 5.2
 #: Runs of one level that may pile up before they are merged.
 MAX_RUNS = 7
 #: Of each kind of run: the columns, the one that it is sorted by, and the rows of a range, about.
@@ -88,6 +89,12 @@ def sign(reps: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     return reps.mapInPandas(go, _SIGNED)
 
 
+def apart_at(threshold: float) -> int:
+    """Bits in which sketches of texts at the threshold may differ: each bit does with half the dissimilarity."""
+    p = (1 - threshold) / 2
+    return math.ceil(BITS * p + DEVIATIONS * math.sqrt(BITS * p * (1 - p)))
+
+
 def clean_sha(c):
     """A reported hash in plain form: lower case, no blanks, no ``sha256:`` in front."""
     return F.regexp_replace(F.lower(F.trim(c)), "^sha-?256:", "")
@@ -213,7 +220,7 @@ class History:
         exact = reps.select("file_id", "content_sha").join(known, "content_sha").select("file_id", "earlier", F.lit(True).alias("old"))
 
         apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-        window = (F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")) & (apart <= APART)
+        window = (F.col("m") >= threshold * F.col("n")) & (F.col("n") >= threshold * F.col("m")) & (apart <= apart_at(threshold))
         theirs = ["key", F.col("n").alias("m"), F.col("file_id").alias("earlier"), F.col("s1").alias("t1"), F.col("s2").alias("t2")]
         before = keyed.join(self._read("keys", keyed.select("key")).select(*theirs), "key").where(window & (F.col("earlier") != F.col("file_id")))
         beside = keyed.join(keyed.select(*theirs).hint("merge"), "key").where(window & (F.col("earlier") < F.col("file_id")))

@@ -1,12 +1,15 @@
 """Sources mixed to target weights by soft membership.
 
-A classifier (multinomial naive Bayes over hashed token ids) is trained on a bounded sample of labelled documents and
-gives each document a posterior over the wanted sources; the label takes ``LABEL_TRUST`` of the membership. Document
-rates (how often a document is taken, 0 to the cap of its source) then solve a nonnegative least squares problem: the
-expected token totals of the sources match their target shares of the total. Of all rates that do so equally well the
+A classifier (multinomial naive Bayes over hashed token ids) is trained on a bounded sample of labelled documents. On the
+held-out part of the sample two numbers are fitted by likelihood: a temperature, as words of a text are not independent,
+and the share of wrong labels. A document's membership in the wanted sources is its posterior given text and label; where
+labels are mostly right and texts tell little it stays near the label, where texts are plain it corrects wrong labels.
+Document rates (how often a document is taken, 0 to the cap of its source) then solve a nonnegative least squares problem:
+the expected token totals of the sources match their target shares of the total. Of all rates that do so equally well the
 ones nearest to 1 are taken (a penalty of weight ``PENALTY``); these follow from one price per source, which is found by
 Newton steps over all documents, pre-aggregated by label and rounded membership, until the gradient of each source is
-below ``TOLERANCE`` of the total. Each step sends a few matrices of the size of the sources to the driver.
+below ``TOLERANCE`` of the total. Up to LOCAL_GROUPS groups are fitted in one place; with more, each step is a job that
+sends a few matrices of the size of the sources to the driver.
 
 Sizes are tokens of a public tokenizer, counted over whole texts of all documents.
 
@@ -31,7 +34,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Labelled rows that train the classifier, about; buckets that token ids are hashed into.
 TRAIN_ROWS, BUCKETS = 10_000, 2048
-LABEL_TRUST = 0.9
+#: Of the sample, one part in so many is held out; the temperatures and shares of wrong labels that are tried on it.
+HELD_OUT, TEMPERATURES, WRONG = 5, 2.0 ** np.arange(0, 11), (1e-3, 3e-3, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3)
+#: Log likelihood that the best pair must gain on the held-out part over labels that are right and texts that tell nothing.
+GAIN = 3.0
+#: Groups of documents up to which the fit runs in one place; texts that are scored at a time.
+LOCAL_GROUPS, SCORED = 100_000, 500
 #: Decimals that memberships are rounded to before documents are grouped.
 DECIMALS = 2
 #: Weight of the distance of rates from 1, at first and at last; the bound on each source's gradient, as a share of the
@@ -64,11 +72,47 @@ def labelled(documents: DataFrame, sources: list[str]) -> DataFrame:
     return documents.where("doc_id IS NOT NULL").select("doc_id", label.alias("label"), "text").where("label IS NOT NULL")
 
 
-def train(docs: DataFrame, k: int, path: str, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Log weights [BUCKETS + 1, k] of the classifier, the prior in the last row, from about ``rows`` labelled documents."""
+class Classifier:
+    """Log weights [BUCKETS + 1, k], the prior in the last row, with temperature and share of wrong labels."""
+
+    def __init__(self, weights: np.ndarray, temperature: float = 1.0, wrong: float = WRONG[0]):
+        self.weights, self.temperature, self.wrong = weights, temperature, wrong
+
+    def scores(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Log likelihoods [text, k] of texts as token ids, without the prior."""
+        w, out = self.weights[:BUCKETS].astype(np.float32), []
+        for a in range(0, len(ids), SCORED):
+            counts = np.zeros((len(ids[a : a + SCORED]), BUCKETS), dtype=np.float32)
+            for row, x in enumerate(ids[a : a + SCORED]):
+                counts[row] = np.bincount(x % BUCKETS, minlength=BUCKETS)
+            out.append(counts @ w)
+        return np.vstack(out) if out else np.empty((0, self.weights.shape[1]))
+
+    def posterior(self, scores: np.ndarray) -> np.ndarray:
+        """What the text alone says."""
+        s = scores / self.temperature + self.weights[BUCKETS]
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+
+    def given(self, label: np.ndarray) -> np.ndarray:
+        """The probability of each label if the text belongs to each source."""
+        k = self.weights.shape[1]
+        out = np.full((len(label), k), self.wrong / max(k - 1, 1))
+        out[np.arange(len(label)), label] = 1 - self.wrong if k > 1 else 1.0
+        return out
+
+    def membership(self, scores: np.ndarray, label: np.ndarray) -> np.ndarray:
+        q = self.posterior(scores) * self.given(label)
+        return q / q.sum(axis=1, keepdims=True)
+
+
+def train(docs: DataFrame, k: int, path: str, rows: int = TRAIN_ROWS) -> Classifier:
+    """The classifier of about ``rows`` labelled documents."""
     n = docs.count()
     share = int(min(1.0, rows / max(n, 1)) * 1_000_000)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    sample = docs.where(drawn < share)
 
     def count(batches):
         enc, total = encoder(path), np.zeros((k, BUCKETS + 1))
@@ -82,31 +126,45 @@ def train(docs: DataFrame, k: int, path: str, rows: int = TRAIN_ROWS) -> np.ndar
 
     counts = np.zeros(k * (BUCKETS + 1))
     # at most k * (BUCKETS + 1) cells, whatever the number of documents
-    for r in sample.mapInPandas(count, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sample.where(~held).mapInPandas(count, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r.cell] = r.n
     counts = counts.reshape(k, BUCKETS + 1)
     words = counts[:, :BUCKETS] + 0.5
     prior = counts[:, BUCKETS] + 1.0
-    return np.vstack([np.log(words / words.sum(axis=1, keepdims=True)).T, np.log(prior / prior.sum())])
+    out = Classifier(np.vstack([np.log(words / words.sum(axis=1, keepdims=True)).T, np.log(prior / prior.sum())]))
 
+    def score(batches):
+        enc = encoder(path)
+        for pdf in batches:
+            s = out.scores([np.array(enc.encode_ordinary(t or ""), dtype=np.int64) for t in pdf.text])
+            yield pd.DataFrame({"label": pdf.label, "s": list(s.astype(np.float64))})
+
+    held_out = sample.where(held).mapInPandas(score, "label int, s array<double>").toPandas()  # a part of a bounded sample
+    if len(held_out) and k > 1:
+        s, label = np.vstack(held_out.s.to_list()), held_out.label.to_numpy()
+
+        def value(t: float, wrong: float) -> float:
+            m = Classifier(out.weights, t, wrong)
+            return float(np.log((m.posterior(s) * m.given(label)).sum(axis=1)).sum())
+
+        tried = [(value(float(t), w), float(t), w) for t in TEMPERATURES for w in WRONG]
+        plain = (float(TEMPERATURES[-1]), WRONG[0])  # texts tell nothing, labels are right
+        best = max(tried)
+        out.temperature, out.wrong = best[1:] if best[0] > value(*plain) + GAIN else plain
+    return out
 
-def members(docs: DataFrame, weights: np.ndarray, k: int, path: str, trust: float = LABEL_TRUST) -> DataFrame:
+
+def members(docs: DataFrame, model: Classifier, path: str) -> DataFrame:
     """(doc_id, label, tokens, q): one pass over all texts; ``q`` is the rounded membership."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def go(batches):
-        enc, w = encoder(path), shared.value
+        enc, m = encoder(path), shared.value
         for pdf in batches:
-            counts, tokens = np.zeros((len(pdf), BUCKETS), dtype=np.float32), []
-            for row, text in enumerate(pdf.text):
-                ids = np.array(enc.encode_ordinary(text or ""), dtype=np.int64)
-                tokens.append(len(ids))
-                counts[row] = np.bincount(ids % BUCKETS, minlength=BUCKETS)
-            score = counts @ w[:BUCKETS].astype(np.float32) + w[BUCKETS]
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            q = (1 - trust) * p / p.sum(axis=1, keepdims=True)
-            q[np.arange(len(pdf)), pdf.label] += trust
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "tokens": tokens, "q": list(np.round(q, DECIMALS))})
+            ids = [np.array(enc.encode_ordinary(text or ""), dtype=np.int64) for text in pdf.text]
+            q = m.membership(m.scores(ids), pdf.label.to_numpy()) if len(pdf) else np.empty((0, 1))
+            q = pd.Series(list(np.round(q, DECIMALS)), dtype=object, index=pdf.index)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "label": pdf.label, "tokens": pd.Series([len(x) for x in ids], dtype="int64", index=pdf.index), "q": q})
 
     return docs.mapInPandas(go, "doc_id bigint, label int, tokens bigint, q array<double>").dropDuplicates(["doc_id"])
 
@@ -129,6 +187,8 @@ def fit(groups: DataFrame, caps: list[int], target: np.ndarray, steps: int = STE
     if not total:
         return np.zeros(k), True
 
+    near = groups.select("label", "q", "tokens").toPandas() if groups.count() <= LOCAL_GROUPS else None
+
     def sums(points):
         """For each point: value, totals and curvature, in one pass."""
 
@@ -145,6 +205,8 @@ def fit(groups: DataFrame, caps: list[int], target: np.ndarray, steps: int = STE
                         out[n, k + 1 :] += ((q * (w * free)[:, None]).T @ q).ravel()
             yield pd.DataFrame({"cell": np.arange(out.size), "v": out.ravel()})
 
+        if near is not None:
+            return next(go([near])).v.to_numpy().reshape(len(points), cells)
         got = np.zeros(len(points) * cells)
         for r in groups.mapInPandas(go, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toLocalIterator():  # few cells
             got[r.cell] = r.v
@@ -181,8 +243,8 @@ class Mixture:
         k = len(self.sources)
         docs = labelled(documents, [s for s, _, _ in self.sources])
         self.caps = [m for _, _, m in self.sources]
-        weights = train(docs, k, path) if k else np.zeros((BUCKETS + 1, 0))
-        self.members = cut(members(docs, weights, k, path))
+        self.model = train(docs, k, path) if k else Classifier(np.zeros((BUCKETS + 1, 0)))
+        self.members = cut(members(docs, self.model, path)) if k else self.spark.createDataFrame([], "doc_id bigint, label int, tokens bigint, q array<double>")
         self.groups = cut(self.members.groupBy("label", "q").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
         self.prices, self.converged = fit(self.groups, self.caps, np.array([w for _, w, _ in self.sources]))
         if not self.converged:
@@ -208,20 +270,27 @@ class Mixture:
         )
 
     def report(self) -> DataFrame:
-        """One row per wanted source: size, target, what its documents reach at their rates, and ``short``: even
-        ``max_repeats`` copies of all its documents stay below its share of the total; ``converged`` is the fit's."""
-        got = self._rated(self.groups).groupBy("label").agg(
-            F.sum("tokens").alias("size_tokens"), F.sum(F.col("tokens") * F.col("rate")).alias("taken_tokens"), F.sum("n").alias("n_docs")
-        )
+        """One row per wanted source. ``label_share`` is the part of what is taken by the documents' labels,
+        ``expected_share`` by their memberships; ``expected_of_total``, the expected tokens as a part of the total of all
+        sources, is what the fit brings near the target, and ``gap`` is how far it stays below. ``short``: even
+        ``max_repeats`` copies of all the source's documents stay below its share of the total; ``converged`` is the
+        fit's."""
+        rated = self._rated(self.groups).withColumn("taken", F.col("tokens") * F.col("rate"))
+        by_label = rated.groupBy("label").agg(F.sum("tokens").alias("size_tokens"), F.sum("taken").alias("taken_tokens"), F.sum("n").alias("n_docs"))
+        parts = rated.select("taken", F.posexplode("q").alias("label", "m"))
+        by_member = parts.groupBy("label").agg(F.sum(F.col("taken") * F.col("m")).alias("expected_tokens"))
         want = self.spark.createDataFrame(
             [(i, s, w, m) for i, (s, w, m) in enumerate(self.sources)], "label int, source string, target_share double, max_repeats int"
         )
-        got = cut(got)  # at most one row per wanted source
-        sums = got.agg(F.sum("size_tokens").alias("total"), F.sum("taken_tokens").alias("taken")).first()
-        total, taken = sums.total or 0, sums.taken or 0.0
-        return want.join(got, "label", "left").na.fill(0).select(
+        got = cut(by_label.join(by_member, "label", "full"))  # at most one row per wanted source
+        sums = got.agg(F.sum("size_tokens").alias("total"), F.sum("taken_tokens").alias("taken"), F.sum("expected_tokens").alias("expected")).first()
+        part = lambda c, whole: (F.col(c) / F.lit(float(whole)) if whole else F.lit(0.0))
+        total = sums.total or 0
+        rows = want.join(got, "label", "left").na.fill(0)
+        return rows.select(
             "source", "target_share", "max_repeats", "n_docs", "size_tokens", F.lit(total).cast("bigint").alias("total_tokens"),
-            (F.col("taken_tokens") / F.lit(taken) if taken else F.lit(0.0)).alias("actual_share"),
-            (F.col("max_repeats") * F.col("size_tokens") < F.col("target_share") * F.col("total_tokens")).alias("short"),
+            part("taken_tokens", sums.taken).alias("label_share"), part("expected_tokens", sums.expected).alias("expected_share"),
+            part("expected_tokens", total).alias("expected_of_total"), (F.col("target_share") - part("expected_tokens", total)).alias("gap"),
+            (F.col("max_repeats") * F.col("size_tokens") < F.col("target_share") * F.lit(total)).alias("short"),
             F.lit(self.converged).alias("converged"),
         )

@@ -62,7 +62,8 @@ def text(rng, n=30):
     return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
 
 
-def test_runs_are_compacted_reopened_and_empty_tables_allowed(spark):
+def test_runs_are_compacted_reopened_and_empty_tables_allowed(spark, monkeypatch):
+    monkeypatch.setattr(history, "MAX_RUNS", 3)
     h = history.History(spark)
     h.accept(files(spark, []).limit(0))
     for k in range(6):
