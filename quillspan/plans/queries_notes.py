@@ -10,6 +10,7 @@ from quillspan.functions.unicode import kebab_case, link_target_keys, topic
 from quillspan.operators import archive, linking, manifest, notes, summary
 from quillspan.plans.blocks import latest
 from quillspan.session import cut, read
+from quillspan.sources import sinks
 
 # Settings of the taxonomy query: keys and codes, in order.
 TAXONOMY = [("chat", "CH"), ("mail", "ML"), ("chat-export", "CX"), ("wiki", "WK"), ("reports", "RP"), ("vault", "VT"), ("log", "LG"), ("notes", "NT"), ("field-memos archive", "FM")]
@@ -135,9 +136,9 @@ def _known(spark, d) -> DataFrame:
 
 
 def _upsert(spark, d):
-    """The manifest as one row per hash, with the files of the last batch put in anew."""
+    """The manifest as one row per hash, with the files of all batches after the accepted history put in anew."""
     old = _known(spark, d).where("content_sha IS NOT NULL").groupBy("content_sha").agg(F.max("file_id").alias("file_id"))
-    new = _files(spark, d).where("batch_no = 24").groupBy("content_sha").agg((-F.max("file_id")).alias("file_id"))
+    new = _files(spark, d).where("batch_no > 0").groupBy("content_sha").agg((-F.max("file_id")).alias("file_id"))
     return manifest.upsert(old, new)
 
 
@@ -217,7 +218,7 @@ def queries() -> dict:
         "taxonomy_lookup": _taxonomy,
         "majority_source": _majority,
         "summary_by_type": lambda s, d: vault(s, d).groupBy(F.coalesce("note_type", F.lit("")).alias("note_type"), F.substring_index("path", "/", 1).alias("folder")).agg(F.count("*").alias("n")),
-        "json_dump": lambda s, d: read(s, d, "region").select(F.to_json(F.struct("r_regionkey", "r_name")).alias("json")),
+        "json_dump": lambda s, d: sinks.as_json(read(s, d, "turns").select("conv_id", "turn", "role", "content").distinct()),
     }
 
 
@@ -334,7 +335,7 @@ SELECT DISTINCT note_id, CASE WHEN lower({_strip('note_type')}) IN ('decision',
   coalesce(array_to_string(list_filter(list_transform(coalesce(tags, []), lambda x: {_strip('x')}), lambda x: x IS NOT NULL AND x <> ''), '|'), '') AS tags FROM vault_notes""",
         "manifest_pending": _FILES + " SELECT DISTINCT file_id, content_sha FROM f WHERE content_sha IS NULL OR content_sha NOT IN (SELECT content_sha FROM k WHERE content_sha IS NOT NULL)",
         "manifest_skipped": _FILES + " SELECT DISTINCT file_id, content_sha FROM f WHERE content_sha IN (SELECT content_sha FROM k WHERE content_sha IS NOT NULL)",
-        "manifest_upsert": _FILES + ", o AS (SELECT content_sha, max(file_id) AS file_id FROM k WHERE content_sha IS NOT NULL GROUP BY 1), n AS (SELECT content_sha, -max(file_id) AS file_id FROM f WHERE batch_no = 24 GROUP BY 1) SELECT * FROM o WHERE content_sha NOT IN (SELECT content_sha FROM n) UNION ALL SELECT * FROM n",
+        "manifest_upsert": _FILES + ", o AS (SELECT content_sha, max(file_id) AS file_id FROM k WHERE content_sha IS NOT NULL GROUP BY 1), n AS (SELECT content_sha, -max(file_id) AS file_id FROM f WHERE batch_no > 0 GROUP BY 1) SELECT * FROM o WHERE content_sha NOT IN (SELECT content_sha FROM n) UNION ALL SELECT * FROM n",
         "manifest_status": "WITH e AS (SELECT unnest(processed) AS e FROM manifest) SELECT count(*) AS entries, CAST(coalesce(sum(e.notes_generated), 0) AS BIGINT) AS notes, max(e.processed_date) AS last_processed FROM e WHERE e IS NOT NULL",
         "usage_by_session": "WITH e AS (SELECT unnest(processed) AS e FROM manifest) SELECT e.session_name AS session_name, count(*) AS calls, CAST(coalesce(sum(e.token_usage.input), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(e.token_usage.output), 0) AS BIGINT) AS output_tokens FROM e WHERE e IS NOT NULL GROUP BY 1",
         "archive_names": r"""
@@ -345,5 +346,6 @@ SELECT file_id, day || '_' || CASE WHEN seq < 1000 THEN lpad(CAST(seq AS VARCHAR
         "taxonomy_lookup": _lookup_sql(),
         "majority_source": "WITH r AS (SELECT session_name, lower(trim(source)) AS source, count(*) AS n, min(doc_id) AS f FROM documents WHERE session_name IS NOT NULL AND source IS NOT NULL GROUP BY ALL) SELECT session_name, source FROM (SELECT *, row_number() OVER (PARTITION BY session_name ORDER BY n DESC, f) AS k FROM r) WHERE k = 1",
         "summary_by_type": _VAULT + "SELECT coalesce(note_type, '') AS note_type, split_part(path, '/', 1) AS folder, count(*) AS n FROM v GROUP BY ALL",
-        "json_dump": "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region",
+        # members without a value are left out
+        "json_dump": "SELECT '{' || array_to_string(list_filter(['\"conv_id\":' || conv_id, '\"turn\":' || turn, '\"role\":' || to_json(role), '\"content\":' || to_json(content)], lambda x: x IS NOT NULL), ',') || '}' AS json FROM (SELECT DISTINCT conv_id, turn, role, content FROM turns)",
     }

@@ -147,7 +147,7 @@ def _page_stats(spark, d):
 
 
 def _transcripts(spark, d):
-    t = turns(spark, d).where("created_at IS NOT NULL").withColumn("timestamp", F.lit(None).cast("string"))
+    t = turns(spark, d).withColumn("timestamp", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     per = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "timestamp"))).alias("ts"))
     return per.select("conv_id", T.transcript("ts").alias("transcript"))
 
@@ -165,9 +165,9 @@ def _times(spark, d):
 
 
 def _tables(spark, d):
-    n = read(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("r"))
-    rows = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform("r", lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])))
-    return n.select("n_regionkey", T.markdown_table(rows).alias("table"))
+    n = read(spark, d, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("r"))
+    rows = F.concat(F.array(F.array(F.lit("key"), F.lit("name"), F.lit("a|b"))), F.transform("r", lambda x: F.array(x["c_custkey"].cast("string"), x["c_name"], x["c_mktsegment"])))
+    return n.select("c_nationkey", T.markdown_table(rows).alias("table"))
 
 
 def _stream(spark, d):
@@ -313,10 +313,10 @@ SELECT file_id, CASE WHEN sfx = '.pdf' THEN 'pdf' WHEN sfx = '.docx' THEN 'docx'
 SELECT file, count(*) AS total_pages, CAST(count(*) FILTER (length(regexp_replace(text, '^{_B}+|{_B}+$', '', 'g')) < 50 AND page_no % 2 > 0) AS BIGINT) AS image_only_pages,
   CAST(round_even(100.0 * count(*) FILTER (length(regexp_replace(text, '^{_B}+|{_B}+$', '', 'g')) < 50 AND page_no % 2 > 0) / count(*), 0) AS INTEGER) AS image_only_pct,
   count(*) FILTER (length(regexp_replace(text, '^{_B}+|{_B}+$', '', 'g')) < 50 AND page_no % 2 > 0) / count(*) > 0.5 AS image_heavy FROM pages GROUP BY file""",
-        "transcripts": _T + """, n AS (SELECT conv_id, turn, role, content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t WHERE created_at IS NOT NULL)
-SELECT conv_id, '<conversation>' || E'\\n' || string_agg('<turn n="' || i || '" role="' || upper(role) || '">' || E'\\n' || content || E'\\n</turn>', E'\\n' ORDER BY i) || E'\\n</conversation>' AS transcript FROM n GROUP BY conv_id""",
+        "transcripts": _T + """, n AS (SELECT conv_id, turn, role, content, coalesce(' timestamp=' || strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%dT%H:%M:%SZ'), '') AS stamp, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM t)
+SELECT conv_id, '<conversation>' || E'\\n' || string_agg('<turn n="' || i || '" role="' || upper(role) || '"' || stamp || '>' || E'\\n' || content || E'\\n</turn>', E'\\n' ORDER BY i) || E'\\n</conversation>' AS transcript FROM n GROUP BY conv_id""",
         "filled_templates": "SELECT DISTINCT file_id, 'Session ' || coalesce(session_name, '') || ' from ' || coalesce(input_file, '') || ' as auto, ' || coalesce(strftime(arrived_at, '%Y-%m-%d'), '') || '.' AS prompt FROM input_files",
         "iso_times": "SELECT DISTINCT chat_id, node_id, strftime(date_trunc('second', create_time), '%Y-%m-%dT%H:%M:%SZ') AS at FROM messages WHERE create_time IS NOT NULL AND epoch(create_time) <> 0",
-        "markdown_tables": "SELECT n_regionkey, '| key | name |' || E'\\n| --- | --- |\\n' || string_agg('| ' || n_nationkey || ' | ' || trim(regexp_replace(n_name, '\\s+', ' ', 'g')) || ' |', E'\\n' ORDER BY n_nationkey) AS \"table\" FROM nation GROUP BY n_regionkey",
+        "markdown_tables": "SELECT c_nationkey, '| key | name | a\\|b |' || E'\\n| --- | --- | --- |\\n' || string_agg('| ' || c_custkey || ' | ' || trim(regexp_replace(c_name, '\\s+', ' ', 'g')) || ' | ' || trim(regexp_replace(c_mktsegment, '\\s+', ' ', 'g')) || ' |', E'\\n' ORDER BY c_custkey) AS \"table\" FROM customer GROUP BY c_nationkey",
         "stream_ingest": "SELECT DISTINCT sha256(content) AS content_sha FROM input_files",
     }
