@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspan.functions.text import export_role, iso_utc, strip
 
@@ -46,30 +49,37 @@ def claude_turns(files: DataFrame) -> DataFrame:
     return _finish(rows)
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def _walk(keys: pd.Series, parents: pd.Series, last: pd.Series, current: pd.Series) -> pd.Series:
+    """The places of the nodes along the active branch, in time linear in the nodes."""
+
+    def line(ks, ps, cs, at):
+        place = {k: i for i, k in enumerate(ks)}
+        up = at in place
+        ahead = ps if up else cs
+        if not up:
+            at = next((k for k, p in zip(ks, ps) if not p), None)
+        out: dict[int, None] = {}
+        while at in place and place[at] not in out:
+            out[place[at]] = None
+            at = ahead[place[at]]
+        return list(out)[::-1] if up else list(out)
+
+    return pd.Series([line(*row) for row in zip(keys, parents, last, current)], dtype=object)
+
+
 def active_line(files: DataFrame) -> DataFrame:
     """(file_id, conv_no, session, pos, message) along the active branch of each mapping: from ``current_node`` up by
-    parents, or without it from the first root in the file's order down by last children. A tree lies in one row, so
-    the walk is a fold over as many steps as the row has nodes, guarded against loops."""
+    parents, or without it from the first root in the file's order down by last children. A tree lies in one row; only
+    its keys and links go through Arrow for the walk, which stops at loops and at links to no node."""
     node = "STRUCT<message:STRING,parent:STRING,children:ARRAY<STRING>>"
     # from_json keeps the order of the mapping's keys, which decides the first root; variants sort them
     shape = f"STRUCT<title:STRING,current_node:STRING,mapping:MAP<STRING,{node}>>"
-    one = _conversations(files).select("file_id", "conv_no", F.from_json("c", shape).alias("c")).where("c.mapping IS NOT NULL")
-    up = (
-        "aggregate(sequence(1, size(c.mapping)), named_struct('at', c.current_node, 'line', cast(array() AS ARRAY<STRING>)), "
-        "(s, i) -> IF(s.at IS NULL OR array_contains(s.line, s.at) OR NOT map_contains_key(c.mapping, s.at), named_struct('at', cast(NULL AS STRING), 'line', s.line), "
-        "named_struct('at', c.mapping[s.at].parent, 'line', array_append(s.line, s.at)))).line"
-    )
-    root = "filter(map_keys(c.mapping), k -> coalesce(c.mapping[k].parent, '') = '')[0]"
-    down = (
-        f"aggregate(sequence(1, size(c.mapping)), named_struct('at', {root}, 'line', cast(array() AS ARRAY<STRING>)), "
-        "(s, i) -> IF(s.at IS NULL OR array_contains(s.line, s.at) OR NOT map_contains_key(c.mapping, s.at), named_struct('at', cast(NULL AS STRING), 'line', s.line), "
-        "named_struct('at', CASE WHEN size(c.mapping[s.at].children) > 0 THEN element_at(c.mapping[s.at].children, -1) END, 'line', array_append(s.line, s.at)))).line"
-    )
-    with_line = one.where("size(c.mapping) > 0").select(
-        "file_id", "conv_no", F.col("c.title").alias("session"), "c",
-        F.expr(f"CASE WHEN map_contains_key(c.mapping, coalesce(c.current_node, '')) THEN reverse({up}) ELSE {down} END").alias("line"),
-    )
-    return with_line.select("file_id", "conv_no", "session", F.expr("posexplode(transform(line, k -> c.mapping[k].message))").alias("pos", "message")).where("message IS NOT NULL")
+    one = _conversations(files).select("file_id", "conv_no", F.from_json("c", shape).alias("c")).where("size(c.mapping) > 0")
+    nodes = one.select("file_id", "conv_no", F.col("c.title").alias("session"), "c.current_node", F.map_keys("c.mapping").alias("k"), F.map_values("c.mapping").alias("v"))
+    child = F.transform("v", lambda x: F.when(F.size(x["children"]) > 0, F.element_at(x["children"], -1)))
+    walked = nodes.withColumn("line", _walk("k", F.transform("v", lambda x: x["parent"]), child, "current_node"))
+    return walked.select("file_id", "conv_no", "session", F.posexplode(F.transform("line", lambda i: F.get("v", i)["message"])).alias("pos", "message")).where("message IS NOT NULL")
 
 
 def chatgpt_turns(files: DataFrame) -> DataFrame:
