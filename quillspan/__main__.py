@@ -14,13 +14,14 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--input", help="a file or a folder of files")
     p.add_argument("--vault", help="the folder of existing notes")
     p.add_argument("--out", help="the folder of new notes")
-    p.add_argument("--manifest", help="the saved manifest to read")
+    p.add_argument("--manifest", help="the folder of the saved manifest: its newest version is read, a run writes the next")
+    p.add_argument("--archive", help="the folder that a run moves its inputs to")
     p.add_argument("--config", help="a YAML file of settings")
     p.add_argument("--run-date", default="1970-01-01")
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--force", action="store_true")
     a = p.parse_args(argv)
-    over = {"run_date": a.run_date, "dry_run": a.dry_run, "force": a.force}
+    over = {"run_date": a.run_date, "dry_run": a.dry_run, "force": a.force, "manifest_dir": a.manifest, "archive_dir": a.archive}
     settings = pipeline.Settings.from_config(a.config, **over) if a.config else pipeline.Settings(**over)
     spark = build_session()
     ship(spark)
@@ -32,13 +33,17 @@ def main(argv: list[str] | None = None) -> None:
             df.show(1000, False)
     elif a.action == "status":
         from quillspan.operators.manifest import status
+        from quillspan.sources.sinks import latest_manifest
 
-        status(spark.read.parquet(a.manifest)).show(1, False)
+        saved, _ = latest_manifest(spark, a.manifest)
+        if saved is None:
+            print("no manifest is saved there")
+        else:
+            status(saved).show(1, False)
     elif a.action == "relink":
         pipeline.relink(spark, a.vault, settings).show(1000, False)
     else:
-        known = spark.read.parquet(a.manifest) if a.manifest else None
-        for name, df in pipeline.full(spark, a.input, a.vault, a.out, known, settings).items():
+        for name, df in pipeline.full(spark, a.input, a.vault, a.out, settings=settings).items():
             print(name)
             df.show(20, 80)
 

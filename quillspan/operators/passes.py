@@ -99,7 +99,7 @@ def paragraphs(df: DataFrame) -> DataFrame:
 def boilerplate_places(df: DataFrame) -> DataFrame:
     """(conv_id, turn, places): paragraphs that repeat an earlier one, in clusters of at least CLUSTER."""
     entries = cut(paragraphs(df))
-    order = (F.col("turn").cast("bigint") * 1_000_000 + F.col("place")).alias("item")
+    order = (F.shiftleft(F.col("turn").cast("bigint"), 31) + F.col("place")).alias("item")
     entries = entries.withColumn("item", order)
     # a later copy of a text lands where its first copy landed, so only distinct texts are compared
     items = entries.groupBy("conv_id", "norm").agg(F.min("item").alias("item"), F.count("*").alias("copies"))
@@ -192,11 +192,13 @@ def held_quotes(df: DataFrame) -> DataFrame:
     asked = cut(base.where(F.col("content").rlike(r"(?m)^\s*(>|On .+ wrote:\s*$)")).mapInPandas(quotes, f"conv_id {conv}, turn int, seg int, block int, line string, word string"))
     lines = asked.groupBy("conv_id", "line", "word").agg(F.max(F.struct("turn", "seg")).alias("last"))
     held = base.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").mapInPandas(corpus, f"conv_id {conv}, turn int, seg int, norm string")
-    ordered = rank_in_groups(held.withColumn("at", F.col("turn").cast("bigint") * 100_000 + F.col("seg")), ["conv_id"], "at", "pos")
+    ordered = rank_in_groups(held.withColumn("at", F.shiftleft(F.col("turn").cast("bigint"), 31) + F.col("seg")), ["conv_id"], "at", "pos")
     ordered = ordered.withColumn("at2", F.struct("turn", "seg"))
     # a line over a border is held once both neighbours are, so the later one dates it
-    head = ordered.select("conv_id", F.col("pos"), "at2", F.substring("norm", 1, 400).alias("head"))
-    tail = ordered.select("conv_id", (F.col("pos") + 1).alias("pos"), F.substring("norm", -400, 400).alias("tail"))
+    longest = asked.groupBy("conv_id").agg(F.max(F.length("line")).alias("n"))
+    reach = ordered.join(longest, "conv_id")  # as much on each side as the longest quoted line of the conversation
+    head = reach.select("conv_id", F.col("pos"), "at2", F.left("norm", "n").alias("head"))
+    tail = reach.select("conv_id", (F.col("pos") + 1).alias("pos"), F.right("norm", "n").alias("tail"))
     border = head.join(tail, ["conv_id", "pos"]).select("conv_id", "at2", F.concat("tail", F.lit(" "), "head").alias("norm"))
     pieces = ordered.select("conv_id", "at2", "norm").unionByName(border)
     words = F.array_distinct(F.regexp_extract_all("norm", F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)))

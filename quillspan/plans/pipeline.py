@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import concept_phrases, strip, tags_of, transcript
-from quillspan.functions.unicode import kebab_case, link_target_keys
-from quillspan.operators import chunks, layout, linking, manifest, notes, passes
+from quillspan.functions.unicode import kebab_case, link_target_keys, topic
+from quillspan.operators import archive, chunks, layout, linking, manifest, notes, passes
 from quillspan.plans.blocks import rank_in_groups
 from quillspan.session import cut
 from quillspan.sources import documents, files, sinks
@@ -30,6 +30,11 @@ class Settings:
     window: dict = field(default_factory=dict)
     complete: object = notes.first_line_writer
     clean: object = None
+    #: Folders of the saved manifest and of archived inputs, both only used where they are given, and (domain, code) of
+    #: archive names.
+    manifest_dir: str | None = None
+    archive_dir: str | None = None
+    codes: list = field(default_factory=list)
 
     @classmethod
     def from_config(cls, path: str, **over) -> Settings:
@@ -136,6 +141,10 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     Notes are linked to those of the vault as it is before the run (one join for all conversations); turns go by
     conversation until there are notes, then everything goes by note. Gives the tables of the run."""
     s = settings or Settings()
+    version = 0
+    if s.manifest_dir:
+        saved, version = sinks.latest_manifest(spark, s.manifest_dir)
+        known = saved if known is None else known
     every = cut(inputs(spark, path))
     fresh = every if known is None else manifest.pending(every, known, s.force)
     parsed = cut(files.parse_files(fresh.select("file_id", "name", "content")))
@@ -149,7 +158,7 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     asked = parts.select("conv_id", "chunk_no", "file_id", transcript("ts").alias("user"), F.lit("").alias("system"))
     raw = cut(notes.extract(asked, s.complete, "system", "user"))
     found = notes.parse(notes.blocks(raw.select("conv_id", "chunk_no", "file_id", "text"), "text"))
-    found = found.withColumn("note_no", (F.col("chunk_no") * 100_000 + F.col("block_no")).cast("bigint"))
+    found = found.withColumn("note_no", F.shiftleft(F.col("chunk_no").cast("bigint"), 31) + F.col("block_no"))
     found = cut(found.join(parts.groupBy("conv_id").agg(F.count("*").alias("n_chunks")), "conv_id"))
     kept, index = settled(found)
     pct = fresh.where("image_only_pct IS NOT NULL").select("file_id", "image_only_pct")
@@ -180,7 +189,32 @@ def full(spark: SparkSession, path: str, vault: str, out: str, known: DataFrame
     done = every.where("error IS NULL").join(fresh.select("file_id").distinct(), "file_id", "left_semi")
     counts = named.select("file_id").unionByName(index.select("file_id")).groupBy("file_id").agg(F.count("*").cast("int").alias("notes_generated"))
     entries = done.join(counts, "file_id", "left").select("content_sha", F.col("name").alias("input_file"), F.lit(s.run_date).alias("processed_date"), F.coalesce("notes_generated", F.lit(0)).alias("notes_generated"))
-    return {"report": report, "notes": named, "written": written, "index": index, "index_written": index_written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "manifest": entries, "failed": failed(fresh)}
+    tables = {"report": report, "notes": named, "written": written, "index": index, "index_written": index_written, "back_links": changed, "dangling": dangling, "usage": raw.select("conv_id", "chunk_no", "input_tokens", "output_tokens", "error"), "failed": failed(fresh)}
+    if s.archive_dir:
+        tables["archived"] = archived(spark, path, done, named, s)
+        entries = entries.join(done.join(tables["archived"], "file_id").select("content_sha", "archived_as"), "content_sha", "left")
+    tables["manifest"] = entries = cut(entries.dropDuplicates(["content_sha"]))
+    if s.manifest_dir and not s.dry_run:
+        sinks.write_manifest(entries if known is None else manifest.upsert(known, entries), s.manifest_dir, version + 1)
+    return tables
+
+
+def archived(spark: SparkSession, path: str, done: DataFrame, ns: DataFrame, s: Settings) -> DataFrame:
+    """(file_id, archived_as): the inputs of a run moved to the archive under names by day, number, the domain of most of
+    their notes and topic; with ``dry_run`` only the names. One small row a file passes the driver."""
+    at = files.list_inputs(spark, path).select("path", F.xxhash64("path").alias("file_id"))
+    domain = archive.majority(ns, "file_id", "source_domain", "note_no")
+    rows = done.select("file_id", "name").join(at, "file_id").join(domain, "file_id", "left").withColumn("day", F.lit(s.run_date))
+    rows = archive.lookup(archive.sequences(rows, "day", ["name", "file_id"]), "source_domain", [tuple(x) for x in s.codes], "code")
+    suffix = F.regexp_extract("name", r"(\.[^./]+)$", 1)
+    stem = F.regexp_replace("name", r"\.[^./]+$", "")
+    name = archive.archive_name(F.col("day"), F.col("seq"), F.col("code"), F.lit(archive.UNKNOWN), F.lit("DOC"), topic(stem), suffix)
+    planned = rows.select("file_id", "path", name.alias("archived_as")).orderBy("archived_as")
+    if s.dry_run:
+        return planned.select("file_id", "archived_as")
+    moves = [(r.file_id, sinks.local(r.path), f"{s.archive_dir}/{r.archived_as}") for r in planned.toLocalIterator()]
+    places = sinks.archive([(a, b) for _, a, b in moves])
+    return spark.createDataFrame([(i, p) for (i, _, _), p in zip(moves, places)], "file_id bigint, archived_as string")
 
 
 def relink(spark: SparkSession, vault: str, settings: Settings | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 from quillspan.plans import pipeline
+from quillspan.sources import sinks
 
 READER = """
 import json
@@ -58,3 +59,24 @@ def test_pdfs_and_unreadable_files(spark, tmp_path):
     warned = {r.title: (r.extra or {}).get("extraction_warning") for r in t["notes"].collect()}
     assert "100% image-only" in warned["short scan"] and warned["plain words"] is None
     assert pipeline.optimize_only(spark, str(inp))[2].count() == 2
+
+
+def test_a_run_saves_its_manifest_and_archives(spark, tmp_path):
+    inp, vault, out = tmp_path / "in", tmp_path / "vault", tmp_path / "out"
+    inp.mkdir(), vault.mkdir()
+    (inp / "Some talk.md").write_text("**Human**: The lantern compass drifts north\n\n**Assistant**: Check the granary violin bearings")
+    (inp / "bad.docx").write_text("no archive")
+    dirs = {"manifest_dir": str(tmp_path / "m"), "archive_dir": str(tmp_path / "a"), "codes": [("general", "GEN")]}
+    planned = pipeline.full(spark, str(inp), str(vault), str(out), settings=pipeline.Settings(run_date="2025-02-03", dry_run=True, **dirs))
+    assert [r.archived_as for r in planned["archived"].collect()] == ["2025-02-03_001_GEN-UNK-DOC_Some-talk.md"] and not (tmp_path / "m").exists()
+    t = pipeline.full(spark, str(inp), str(vault), str(out), settings=pipeline.Settings(run_date="2025-02-03", **dirs))
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["2025-02-03_001_GEN-UNK-DOC_Some-talk.md"]
+    assert [p.name for p in inp.iterdir()] == ["bad.docx"] and t["failed"].count() == 1
+    saved, version = sinks.latest_manifest(spark, str(tmp_path / "m"))
+    assert version == 1 and [(r.input_file, r.archived_as.endswith("Some-talk.md")) for r in saved.collect()] == [("Some talk.md", True)]
+    (inp / "again.md").write_text("**Human**: The lantern compass drifts north\n\n**Assistant**: Check the granary violin bearings")
+    (inp / "new.md").write_text("**Human**: Something else entirely\n\n**Assistant**: Yes")
+    t = pipeline.full(spark, str(inp), str(vault), str(out), settings=pipeline.Settings(run_date="2025-02-03", manifest_dir=str(tmp_path / "m")))
+    assert sorted(r.input_file for r in t["manifest"].collect()) == ["new.md"]
+    saved, version = sinks.latest_manifest(spark, str(tmp_path / "m"))
+    assert version == 2 and saved.count() == 2
