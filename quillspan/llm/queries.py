@@ -75,7 +75,14 @@ pairs AS (
   SELECT a.field_name, a.note_id AS note_a, b.note_id AS note_b, a.n AS na, b.n AS nb, count(*) AS k
   FROM kept a JOIN kept b ON a.field_name = b.field_name AND a.val = b.val AND a.note_id < b.note_id
   GROUP BY ALL)
-SELECT field_name, note_a, note_b FROM pairs WHERE k * 10 >= 6 * (na + nb - k)
+"""
+_P3_PAIRS = _P3 + "SELECT field_name, note_a, note_b FROM pairs WHERE k * 10 >= 6 * (na + nb - k)"
+_P3_LINKS = _P3 + """,
+links AS (SELECT field_name, note_a, note_b FROM pairs WHERE k * 10 >= 6 * (na + nb - k)),
+counted AS (SELECT field_name, note_id, count(*) AS n FROM (SELECT field_name, note_a AS note_id FROM links UNION ALL SELECT field_name, note_b FROM links) GROUP BY ALL),
+sets AS (SELECT field_name, note_id, list(val ORDER BY val) AS vs FROM kept GROUP BY ALL)
+SELECT s.field_name, s.note_id, min(s.note_id) OVER (PARTITION BY s.field_name, s.vs) AS class_id, coalesce(c.n, 0) AS n_links
+FROM sets s LEFT JOIN counted c USING (field_name, note_id)
 """
 
 
@@ -117,7 +124,13 @@ judged AS (
 kept AS (
   SELECT chat_id FROM judged GROUP BY chat_id
   HAVING count(*) FILTER (who = 'h') > 0 AND count(*) FILTER (who = 'h' AND then_who IS DISTINCT FROM 'a') = 0)
-SELECT chat_id, CAST(turn_pos AS INTEGER) AS turn_pos, node AS node_id FROM turns WHERE chat_id IN (SELECT chat_id FROM kept)
+"""
+_P5_TURNS = _P5 + "SELECT chat_id, CAST(turn_pos AS INTEGER) AS turn_pos, node AS node_id FROM turns WHERE chat_id IN (SELECT chat_id FROM kept)"
+_P5_VERDICTS = _P5 + """,
+sizes AS (SELECT chat_id, count(*) AS n, count(*) FILTER (who = 'h') AS n_human, count(*) FILTER (who = 'h' AND then_who IS DISTINCT FROM 'a') AS n_open FROM judged GROUP BY chat_id)
+SELECT s.chat_id, coalesce(z.n, 0) AS n_turns,
+  CASE WHEN s.chat_id NOT IN (SELECT chat_id FROM whole) THEN 'broken' WHEN z.n IS NULL THEN 'empty' WHEN z.n_human = 0 THEN 'no human turn' WHEN z.n_open > 0 THEN 'missing reply' ELSE 'kept' END AS verdict
+FROM s LEFT JOIN sizes z USING (chat_id) WHERE s.chat_id IS NOT NULL
 """
 
 
@@ -131,4 +144,4 @@ SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (g)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": _P2, "p3_found": _P3, "p5_found": _P5, "p7_found": _P7}
+    return {"p2_found": _P2, "p3_found": _P3_PAIRS, "p3_links": _P3_LINKS, "p5_found": _P5_TURNS, "p5_verdicts": _P5_VERDICTS, "p7_found": _P7}
