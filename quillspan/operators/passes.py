@@ -41,12 +41,20 @@ def prune(df: DataFrame) -> DataFrame:
     return df.where(F.col("content").rlike(r"(?U)\S"))
 
 
+def clean_blanks(df: DataFrame) -> DataFrame:
+    return df.withColumn("content", _each(scan.clean_blanks)("content"))
+
+
 def whitespace(df: DataFrame) -> DataFrame:
-    return prune(df.withColumn("content", _each(scan.clean_blanks)("content")))
+    return prune(clean_blanks(df))
+
+
+def clean_contents(df: DataFrame) -> DataFrame:
+    return df.withColumn("content", _each(scan.clean_contents)("content"))
 
 
 def contents(df: DataFrame) -> DataFrame:
-    return prune(df.withColumn("content", _each(scan.clean_contents)("content")))
+    return prune(clean_contents(df))
 
 
 # --- boilerplate -------------------------------------------------------------------------------------------------
@@ -226,7 +234,6 @@ def quoted(df: DataFrame) -> DataFrame:
     def replace(text: pd.Series, held: pd.Series) -> pd.Series:
         return pd.Series([(x or "").strip() if h is None else _replace_quotes(x or "", set(h)) for x, h in zip(text, held)])
 
-    df = cut(df)
     joined = df.join(held_quotes(df), ["conv_id", "turn"], "left")
     return prune(joined.withColumn("content", replace("content", "held")).drop("held"))
 
@@ -257,11 +264,16 @@ def optimize(turns: DataFrame, clean=None, least_tokens: int = MIN_TOKENS) -> tu
     total = cut(total.withColumn("skipped", F.col("raw_tokens") < least_tokens))
     marked = turns.join(total.select("conv_id", "skipped"), "conv_id")
     work = marked.where("NOT skipped").drop("skipped")
-    steps = (boilerplate, whitespace, low_signal, contents, quoted, repeated_turns)
-    sizes = []
-    for name, step in zip(PASSES, steps):
-        work = cut(step(work))
-        sizes.append(work.groupBy("conv_id").agg(F.sum(count_tokens("content")).alias(f"after_{name}")))
+    # a pass that looks at more than its row is written once, together with the row-wise pass behind it
+    steps, sizes, names = ((boilerplate, clean_blanks), (low_signal, clean_contents), (quoted, None), (repeated_turns, None)), [], iter(PASSES)
+    for step, row_wise in steps:
+        done = step(work).withColumn("_tokens", count_tokens("content"))
+        done = cut(row_wise(done) if row_wise else done)
+        sizes.append(done.groupBy("conv_id").agg(F.sum("_tokens").alias(f"after_{next(names)}")))
+        work = done.drop("_tokens")
+        if row_wise:
+            work = prune(work)
+            sizes.append(work.groupBy("conv_id").agg(F.sum(count_tokens("content")).alias(f"after_{next(names)}")))
     if clean is not None:
         work = cut(cleaned(work, clean))
     final = work.groupBy("conv_id").agg(F.sum(count_tokens("content")).alias("left_tokens"), F.count("*").alias("left_turns"))

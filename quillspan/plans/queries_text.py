@@ -10,7 +10,7 @@ from quillspan.functions import text as T
 from quillspan.functions.unicode import nfc
 from quillspan.operators import chunks, layout, passes
 from quillspan.plans.blocks import latest, rank_in_groups
-from quillspan.session import read
+from quillspan.session import cut, read
 from quillspan.sources import chats, files
 from quillspan.streaming import ingest as streaming
 
@@ -89,8 +89,8 @@ def _repeated_exact(spark, d):
     return t.join(after, ["conv_id", "pos"]).where("norm = next").select("conv_id", "turn")
 
 
-def _pass(step):
-    return lambda spark, d: step(_turns(spark, d)).select("conv_id", "turn", F.length("content").alias("n_chars"))
+def _pass(step, reads_once=False):
+    return lambda spark, d: step(_turns(spark, d) if reads_once else cut(_turns(spark, d))).select("conv_id", "turn", F.length("content").alias("n_chars"))
 
 
 def _optimized(spark, d):
@@ -200,9 +200,9 @@ def queries() -> dict:
         "repeated_turns_exact": _repeated_exact,
         "nfc_titles": lambda s, d: read(s, d, "vault_notes").select("note_id", nfc("title").alias("title")).distinct(),
         "pass_boilerplate": _pass(passes.boilerplate),
-        "pass_whitespace": _pass(passes.whitespace),
+        "pass_whitespace": _pass(passes.whitespace, True),
         "pass_low_signal": _pass(passes.low_signal),
-        "pass_contents": _pass(passes.contents),
+        "pass_contents": _pass(passes.contents, True),
         "pass_quoted": _pass(passes.quoted),
         "pass_repeated_turns": _pass(passes.repeated_turns),
         "optimize_turns": _optimized,
