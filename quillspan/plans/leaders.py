@@ -24,6 +24,9 @@ def leaders(edges: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
     keys = [*group, "item"]
     old = F.col("old") if "old" in edges.columns else F.lit(False)
     edges = stored(edges.groupBy(*keys, "earlier").agg(F.max(old).alias("old")), "leader-edges")
+    if edges.count() <= few:
+        alone = edges.withColumn("their", F.when(F.col("old"), F.lit(True))).drop("old")
+        return stored(_in_a_row(alone, keys, group).drop("leads"), "leader-found")
     state = edges.groupBy(*keys).agg(F.when(F.max("old"), F.lit(False)).alias("leads"))
     while True:
         state = stored(state, "leader-state")
@@ -36,7 +39,7 @@ def leaders(edges: DataFrame, group: list[str], few: int = FEW) -> DataFrame:
         decided = F.when(F.col("hit"), F.lit(False)).when(~F.coalesce("wait", F.lit(False)), F.lit(True))
         state = state.join(seen, _same(state, seen, keys), "left").select(*[state[k] for k in keys], F.coalesce("leads", decided).alias("leads"))
     if n:
-        rest = stored(_in_a_row(open_, keys, group), "leader-rest")
+        rest = stored(_in_a_row(open_, keys, group).drop("leader"), "leader-rest")
         state = stored(
             state.join(rest.withColumnRenamed("leads", "late"), _same(state, rest, keys), "left").select(*[state[k] for k in keys], F.coalesce("leads", "late").alias("leads")),
             "leader-state",
@@ -70,32 +73,33 @@ def _open(edges: DataFrame, state: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _in_a_row(open_: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
-    """(group..., item, leads) of the open items, by one walk in the order of items."""
-
+    """(group..., item, leads, leader) of the open items, by one walk in the order of items; ``leader`` among their open
+    matches."""
     types = ", ".join(f"{n} {t}" for n, t in open_.select(*keys).dtypes)
     names = [*keys, "earlier", "their"]
 
     def walk(batches):
-        joined, item, hit = set(), None, False  # the open items that join a leader
+        joined, item, leader, last = set(), None, None, None  # ``joined``: the open items that join a leader
         for batch in batches:
-            out = []
+            out, last = [], batch
             for *g, i, e, their in zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names]):
                 here = (*g, i)
                 if here != item:
                     if item is not None:
-                        out.append((*item, not hit))
-                        if hit:
+                        out.append((*item, leader is None, leader))
+                        if leader is not None:
                             joined.add(item)
-                    item, hit = here, False
-                hit = hit or their is True or (*g, e) not in joined
+                    item, leader = here, None
+                if leader is None and (their is True or (*g, e) not in joined):
+                    leader = e  # matches come in order
             yield _rows(out, batch)
-            last = batch
         if item is not None:
-            yield _rows([(*item, not hit)], last)
+            yield _rows([(*item, leader is None, leader)], last)
 
     def _rows(out, like):
         columns = [pa.array([r[n] for r in out], like.schema.field(k).type) for n, k in enumerate(keys)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([r[-1] for r in out], pa.bool_())], names=[*keys, "leads"])
+        columns += [pa.array([r[-2] for r in out], pa.bool_()), pa.array([r[-1] for r in out], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "leads", "leader"])
 
-    one = open_.repartition(1).sortWithinPartitions("item", *group, "earlier")
-    return one.mapInArrow(walk, f"{types}, leads boolean")
+    one = open_.withColumn("earlier", F.col("earlier").cast("bigint")).repartition(1).sortWithinPartitions("item", *group, "earlier")
+    return one.mapInArrow(walk, f"{types}, leads boolean, leader bigint")
