@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 
 from quillspan.plans import pipeline
-from quillspan.session import build_session, ship
+from quillspan.session import build_session, clean_scratch, ship
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -46,6 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         for name, df in pipeline.full(spark, a.input, a.vault, a.out, settings=settings).items():
             print(name)
             df.show(20, 80)
+    clean_scratch(spark)
 
 
 if __name__ == "__main__":

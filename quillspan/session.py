@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,8 +53,25 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for a written table in the shared folder; ``clean_scratch`` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that this application has written to the shared folder, once nothing reads them any more: the
+    results of operators read them until they are written or collected. Gives their number. Checkpoints go with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _scratch:
+        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -68,6 +86,21 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Sends a file of the driver to the executors, once per application; ``shipped`` finds it there."""
+    sc = spark.sparkContext
+    sent = sc.__dict__.setdefault("_quillspan_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
+
+
+def shipped(path: str) -> str:
+    """Where a shipped file lies on this machine; the path itself where it was not shipped."""
+    here = SparkFiles.get(os.path.basename(path))
+    return here if os.path.exists(here) else path
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     sc = spark.sparkContext

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -183,3 +184,28 @@ def test_full_run(spark, tmp_path):
 def test_decode(spark):
     df = spark.createDataFrame([(bytearray(b"\xef\xbb\xbfa\xff"),), (None,)], "b binary").select(files.decode(F.col("b")).alias("t"))
     assert [r.t for r in df.collect()] == ["a�", None]
+
+
+def test_scratch_tables_are_cleaned(spark):
+    from quillspan import session
+
+    session.clean_scratch(spark)
+    df = session.stored(spark.range(5), "some")
+    path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.clean_scratch(spark) == 1 and not os.path.exists(path) and session.clean_scratch(spark) == 0
+
+
+def test_files_are_shipped(spark, tmp_path):
+    from quillspan import session
+
+    (tmp_path / "some-list.txt").write_text("x")
+    session.ship_file(spark, str(tmp_path / "some-list.txt"))
+    session.ship_file(spark, str(tmp_path / "some-list.txt"))
+
+    def go(batches):
+        for pdf in batches:
+            yield pdf.assign(p=[open(session.shipped(str(tmp_path / "some-list.txt"))).read()] * len(pdf))
+
+    assert {r.p for r in spark.range(3).mapInPandas(go, "id bigint, p string").collect()} == {"x"}
+    assert session.shipped("/no/such/file") == "/no/such/file"
