@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.session import ship_file, shipped
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LANGS = ("en", "de", "fr", "es", "nl", "pt", "ru")
 
@@ -38,8 +40,11 @@ TRAIN_DOCS, TRAIN_WORDS, TRAIN_CHARS, ROUNDS, EM_STEPS = 300, 3000, 20_000, 2, 3
 SMOOTHING = 0.05
 #: Cost of a change of language, and the most that one word may count against a language, in nats.
 SWITCH, WORD_CAP = 9.0, 7.0
-#: Words of a text are far from independent: the weight of their evidence in a confidence.
-TEMPER = 0.1
+#: Words of a text are far from independent: the weight of their evidence in a confidence. It is fitted on CALIBRATE_DOCS
+#: labelled documents a language that did not train the model, of which WRONG_LABELS may be wrong; the first value holds
+#: where there are fewer than LEAST_HELD in all.
+TEMPER, TEMPERS = 0.1, (0.02, 0.03, 0.05, 0.07, 0.1, 0.15, 0.2, 0.3, 0.5, 1.0)
+CALIBRATE_DOCS, LEAST_HELD, WRONG_LABELS = 100, 50, 0.05
 MAX_WORD, KEEP_WORDS = 40, 200_000
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?…。！？]+[\"'”’»)\]*_]*(?=\s|$)|\n\s*\n")
@@ -206,14 +211,28 @@ def best_path(scores: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(documents: DataFrame, path: str = VOCABULARY) -> np.ndarray:
-    """Piece probabilities from at most TRAIN_DOCS labelled documents a language (the sample bound)."""
+def calibrated(totals: np.ndarray, langs: np.ndarray) -> float:
+    """The weight of evidence under which held-out labels are likeliest, given the documents' scores [doc, language]."""
+    if len(langs) < LEAST_HELD:
+        return TEMPER
+
+    def value(t: float) -> float:
+        p = np.exp(t * (totals - totals.max(axis=1, keepdims=True)))
+        p = p[np.arange(len(langs)), langs] / p.sum(axis=1)
+        return float(np.log((1 - WRONG_LABELS) * p + WRONG_LABELS / len(LANGS)).sum())
+
+    return max(TEMPERS, key=value)
+
+
+def train(documents: DataFrame, path: str = VOCABULARY) -> tuple[np.ndarray, float]:
+    """Piece probabilities from at most TRAIN_DOCS labelled documents a language (the sample bound), and the weight of
+    evidence in confidences from at most CALIBRATE_DOCS more."""
     labelled = documents.where(F.length("text") <= TRAIN_CHARS).select("doc_id", label_language(F.col("lang")).alias("l"), "text").where("l IS NOT NULL")
     w = Window.partitionBy("l").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = labelled.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= TRAIN_DOCS).select("doc_id", "l", "text").collect()
+    sample = labelled.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= TRAIN_DOCS + CALIBRATE_DOCS).select("doc_id", "l", "rn", "text").collect()
     lattice = Lattice(path)
     sentences = []
-    for r in sorted(sample, key=lambda r: (r.l, r.doc_id)):
+    for r in sorted((r for r in sample if r.rn <= TRAIN_DOCS), key=lambda r: (r.l, r.doc_id)):
         ws: list[str] = []
         for t in [*tokens(r.text), "."]:
             if t[0].isalpha():
@@ -232,20 +251,25 @@ def train(documents: DataFrame, path: str = VOCABULARY) -> np.ndarray:
             if top == lang or np.sort(s)[-1] - np.sort(s)[-2] > SWITCH:
                 kept.append((top, ws))
         p = train_pieces(kept, lattice)
-    return p.astype(np.float32)
+    p, held = p.astype(np.float32), [r for r in sample if r.rn > TRAIN_DOCS]
+    m = Model(p.astype(np.float64), lattice)
+    totals = np.array([m.rows[m.index(tokens(r.text))].sum(axis=0) for r in held]).reshape(len(held), len(LANGS))
+    return p, calibrated(totals, np.array([LANGS.index(r.l) for r in held], dtype=int))
 
 
 def segments(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, seg_no, lang, confidence, n_sentences, n_segments, label): the segments of every document in text
     order; ``confidence`` is the posterior of the segment's language given its sentences, the evidence tempered by
-    TEMPER and all languages equally likely beforehand; ``label`` is the language that the document's label names."""
+    what ``train`` fits and all languages equally likely beforehand; ``label`` is the language that the document's label names."""
     spark = documents.sparkSession
+    ship_file(spark, path)
     shared = spark.sparkContext.broadcast(train(documents, path))
     docs = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", label_language(F.col("lang")).alias("label"))
     columns = ["doc_id", "seg_no", "lang", "confidence", "n_sentences", "n_segments", "label"]
 
     def go(batches):
-        model = Model(shared.value.astype(np.float64), Lattice(path))
+        p, temper = shared.value
+        model = Model(p.astype(np.float64), Lattice(shipped(path)))
         for pdf in batches:
             if model.n > KEEP_WORDS:
                 model.clear()
@@ -265,7 +289,7 @@ def segments(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 d = int(docs_of[a])
                 for no, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
                     total = s[x:y].sum(axis=0)
-                    out.append((keys[d], no, LANGS[way[x]], float(1.0 / np.exp(TEMPER * (total - total[way[x]])).sum()), y - x, len(cuts) - 1, labels[d]))
+                    out.append((keys[d], no, LANGS[way[x]], float(1.0 / np.exp(temper * (total - total[way[x]])).sum()), y - x, len(cuts) - 1, labels[d]))
             yield pd.DataFrame(out, columns=columns)
 
     return docs.mapInPandas(go, "doc_id bigint, seg_no int, lang string, confidence double, n_sentences int, n_segments int, label string")

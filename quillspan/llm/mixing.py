@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.session import cut
+from quillspan.session import cut, ship_file, shipped
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank file.
@@ -53,7 +53,7 @@ def encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(shipped(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
@@ -239,6 +239,7 @@ class Mixture:
 
     def __init__(self, documents: DataFrame, targets: DataFrame, path: str = TOKENIZER):
         self.spark = documents.sparkSession
+        ship_file(self.spark, path)
         self.sources = wanted(targets)
         k = len(self.sources)
         docs = labelled(documents, [s for s, _, _ in self.sources])

@@ -44,7 +44,7 @@ def test_held_out_accuracy_and_segments(spark):
     found = language.segments(docs).where("n_segments = 1 AND label IS NOT NULL")
     held = found.join(docs.where("abs(xxhash64(doc_id)) % 2 = 0").select("doc_id"), "doc_id")
     assert held.where("lang = label").count() / held.count() > 0.9  # some labels are wrong
-    p = language.train(docs)
+    p, _ = language.train(docs)
     lat = language.Lattice(language.VOCABULARY)
     m = language.Model(p.astype(float), lat)
     en, de = "The lamp still shows nine missing chunks and we should move them.", "Die Lampe zeigt noch neun Fehler und niemand weiß, woher sie kommen."
@@ -58,3 +58,15 @@ def test_empty_and_wordless(spark):
     df = spark.createDataFrame([(1, None, "en", "x", "y", 1), (2, "", None, None, None, None), (3, "123 !!!", "de", None, None, None), (None, "text", None, None, None, None), (4, "the " * 5000 + "x" * 5000, "en", None, None, None)], D)
     assert {r.doc_id for r in language.segments(df).collect()} == {4}
     assert language.unlabelled_or_mixed(df.limit(0)).count() == 0
+
+
+def test_confidence_is_fitted_on_held_out_labels():
+    rng = np.random.RandomState(3)
+    langs = rng.randint(0, len(language.LANGS), 4000)
+    # scores whose evidence counts five times too much
+    totals = rng.randn(4000, len(language.LANGS)) * 4
+    p = np.exp(0.2 * totals)
+    p /= p.sum(axis=1, keepdims=True)
+    langs = np.array([rng.choice(len(language.LANGS), p=x) for x in p])
+    assert language.calibrated(totals, langs) in (0.15, 0.2, 0.3)
+    assert language.calibrated(totals[:10], langs[:10]) == language.TEMPER
