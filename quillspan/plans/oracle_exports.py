@@ -109,8 +109,8 @@ tu AS (SELECT d.doc_id, CAST(row_number() OVER (PARTITION BY d.doc_id ORDER BY d
     )
 
 
-_SPEAKERS = "WITH" + _turns("doc_kind = 'transcript'") + " SELECT doc_id AS file_id, turn, role, content FROM tu"
-_COPILOT_TURNS = "WITH" + _turns("doc_kind = 'copilot'", True) + " SELECT doc_id AS file_id, turn, role, content FROM tu"
+_SPEAKERS = "WITH" + _turns("TRUE") + " SELECT doc_id AS file_id, turn, role, content FROM tu"
+_COPILOT_TURNS = "WITH" + _turns("TRUE", True) + " SELECT doc_id AS file_id, turn, role, content FROM tu"
 _MARKUP = "WITH" + _lines("true") + "," + _marked("x", "(SELECT doc_id, pos, line FROM l)", "doc_id") + " SELECT d.doc_id, coalesce(x.content, '') AS content FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id"
 _PLAIN = (
     "WITH" + _turns("true") + "," + _marked("x", "(SELECT doc_id, pos, line FROM l)", "doc_id")

@@ -106,11 +106,11 @@ def _batch(spark, d):
 
 
 def _documents_as_files(spark, d):
-    return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"), "doc_kind")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
 
 
-def _text_turns(form, kinds):
-    return lambda spark, d: files.text_turns(_documents_as_files(spark, d).where(F.col("doc_kind").isin(*kinds) if kinds else F.lit(True)), form).select("file_id", "turn", "role", "content")
+def _text_turns(form):
+    return lambda spark, d: files.text_turns(_documents_as_files(spark, d), form).select("file_id", "turn", "role", "content")
 
 
 def _markup(spark, d):
@@ -208,9 +208,9 @@ def queries() -> dict:
         "optimize_turns": _optimized,
         "optimize_report": _report,
         "optimize_batch": _batch,
-        "speaker_turns": _text_turns("markdown", ("transcript",)),
-        "copilot_turns": _text_turns("copilot", ("copilot",)),
-        "plain_turns": _text_turns("plaintext", None),
+        "speaker_turns": _text_turns("markdown"),
+        "copilot_turns": _text_turns("copilot"),
+        "plain_turns": _text_turns("plaintext"),
         "clean_markup": _markup,
         "detect_format": _formats,
         "parse_files": _parsed,
