@@ -1,9 +1,9 @@
 """Conversations rebuilt from message rows by joining overlapping fragments.
 
-Every message row is an export fragment of two message hashes: the message and the one its line goes on with (its
-parent on the way up from ``current_node``, its last child on the way down from the only root). Fragments whose suffix
-equals another's prefix overlap; as each message has one continuation, these paths are unambiguous and are merged by
-doubling: a round joins every fragment with the one that starts where it ends, so a line of n messages is assembled
+Every message row is an export fragment of two message hashes (of id, role, kind and content): the message and the one
+its line goes on with (its parent on the way up from ``current_node``, its last child on the way down from the only root).
+Fragments whose suffix equals another's prefix overlap; as each message has one continuation, these paths are unambiguous
+(a message met twice drops its chat) and are merged by doubling: a round joins every fragment with the one that starts where it ends, so a line of n messages is assembled
 in log2(n) rounds and no task ever holds a conversation. Lines with a gap (a link to no row) or a loop are dropped.
 
 Defined results: of each (chat_id, node_id) the row ingested last counts (NULL times first, ties by the greatest
@@ -23,10 +23,6 @@ HUMAN, ASSISTANT = ("user", "human"), ("assistant", "ai")
 TURN_TYPES = ("text", "multimodal_text", "code")
 
 
-def _hash(c) -> F.Column:
-    return F.xxhash64(c)
-
-
 def fragments(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """(chat_id, node_id, h, nxt, gap, is_start, up, speaker): the latest rows with their link along the chat's line;
     ``speaker`` is 'h' or 'a' for a turn, NULL for any other row."""
@@ -39,8 +35,9 @@ def fragments(sessions: DataFrame, messages: DataFrame) -> DataFrame:
             (~F.coalesce("is_hidden", F.lit(False))) & F.col("content_type").isin(*TURN_TYPES) & F.col("content").rlike(r"(?U)\S"),
             F.when(F.lower(F.trim("role")).isin(*HUMAN), "h").when(F.lower(F.trim("role")).isin(*ASSISTANT), "a"),
         ).alias("speaker"),
+        F.xxhash64("node_id", "role", "content_type", "content").alias("h"),
     )
-    rows = latest(rows, ["chat_id", "node_id"], F.col("ingested_at"), ["parent", "has_child", "child", "speaker"])
+    rows = latest(rows, ["chat_id", "node_id"], F.col("ingested_at"), ["parent", "has_child", "child", "speaker", "h"])
     chats = latest(sessions.where("chat_id IS NOT NULL"), ["chat_id"], F.col("updated_at"), ["current_node"])
     rows = cut(rows.join(chats.select("chat_id"), "chat_id", "left_semi"))
 
@@ -51,14 +48,14 @@ def fragments(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     starts = from_node.unionByName(from_root)
 
     linked = rows.join(starts, "chat_id").select(
-        "chat_id", "node_id", "speaker", "up", (F.col("node_id") == F.col("start")).alias("is_start"), _hash("node_id").alias("h"),
+        "chat_id", "node_id", "speaker", "up", (F.col("node_id") == F.col("start")).alias("is_start"), "h",
         F.when(F.col("up"), F.col("parent")).when(F.col("has_child"), F.col("child")).alias("target"),
     )
-    there = rows.select("chat_id", F.col("node_id").alias("target"), F.lit(True).alias("found"))
+    there = rows.select("chat_id", F.col("node_id").alias("target"), F.col("h").alias("there"))
     out = linked.join(there, ["chat_id", "target"], "left").select(
         "chat_id", "node_id", "h", "is_start", "up", "speaker",
-        F.when(F.col("found"), _hash("target")).alias("nxt"),
-        (F.col("target").isNotNull() & F.col("found").isNull()).alias("gap"),
+        F.col("there").alias("nxt"),
+        (F.col("target").isNotNull() & F.col("there").isNull()).alias("gap"),
     )
     return cut(out)
 
