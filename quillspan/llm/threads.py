@@ -13,11 +13,13 @@ usable ``current_node`` is dropped; of a repeated session the row updated last c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.plans.blocks import latest, rank_in_groups
-from quillspan.session import cut
+from quillspan.session import cut, stored
 
 HUMAN, ASSISTANT = ("user", "human"), ("assistant", "ai")
 TURN_TYPES = ("text", "multimodal_text", "code")
@@ -65,16 +67,19 @@ def assemble(frags: DataFrame) -> DataFrame:
     are left out."""
     line = frags.where("is_start").select("chat_id", "h", F.lit(0).cast("bigint").alias("pos"))
     jump = frags.where("nxt IS NOT NULL").select("chat_id", "h", "nxt")
-    reach = 1
+    reach, whole = 1, []
     while True:
         ahead = line.join(jump, ["chat_id", "h"]).select("chat_id", F.col("nxt").alias("h"), (F.col("pos") + reach).alias("pos"))
         grown = line.unionByName(ahead)
         counted = grown.groupBy("chat_id", "h").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
         loops = counted.where("n > 1").select("chat_id").distinct()
         grown = cut(counted.join(loops, "chat_id", "left_anti").select("chat_id", "h", "pos"))
-        if not grown.where(F.col("pos") >= reach).take(1):
-            return grown
-        line = grown
+        growing = stored(grown.where(F.col("pos") >= reach).select("chat_id").distinct(), "threads-growing")
+        if not growing.take(1):
+            return reduce(DataFrame.unionByName, whole, grown)
+        # lines that did not grow are whole and take no part in later rounds
+        whole.append(grown.join(growing, "chat_id", "left_anti"))
+        line, jump = grown.join(growing, "chat_id", "left_semi"), jump.join(growing, "chat_id", "left_semi")
         then = jump.select("chat_id", F.col("h").alias("nxt"), F.col("nxt").alias("far"))
         jump = cut(jump.join(then, ["chat_id", "nxt"]).select("chat_id", "h", F.col("far").alias("nxt")))
         reach *= 2
