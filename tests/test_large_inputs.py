@@ -26,3 +26,31 @@ def test_long_table_in_linear_time(spark):
     assert got == "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} |  |" for i in range(1, n + 1))
     assert time.time() - began < 30
     assert spark.range(1).select(T.markdown_table(F.array(F.array(F.lit(" ")))).alias("t")).first().t == ""
+
+
+def test_best_links_like_all_candidates(spark):
+    """back_links, link_stats, link_topk, link_preview: the best links by blocks are those among all candidate pairs."""
+    import random
+
+    from quillspan.operators import linking
+    from tests.test_notes_links import NOTE, some_notes
+
+    df = spark.createDataFrame(some_notes(random.Random(5), 60), NOTE)
+    for titles in (False, True):
+        want = linking.top(linking.candidates(df, df, titles), df).collect()
+        got = linking.top(linking.best(df, df, titles, block=9, sblock=25), df).collect()
+        pick = lambda rs: sorted((r.src, r["rank"], r.tgt, r.score, r.reason) for r in rs)
+        assert pick(got) == pick(want) and want
+
+
+def test_no_note_table_is_broadcast(spark):
+    """The planner takes exploded words for small, so the links of large vaults went to the driver."""
+    import random
+
+    from quillspan.operators import linking
+    from tests.test_notes_links import NOTE, some_notes
+
+    df = spark.createDataFrame(some_notes(random.Random(5), 60), NOTE)
+    asked = df.select(F.explode("phrases").alias("phrase"))
+    plan = linking.found_phrases(asked, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
