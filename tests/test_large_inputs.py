@@ -54,3 +54,14 @@ def test_no_note_table_is_broadcast(spark):
     asked = df.select(F.explode("phrases").alias("phrase"))
     plan = linking.found_phrases(asked, df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_forward_notes_search_from_all_notes(spark, sf):
+    """forward_notes: every note gets its links, not only those with ids divisible by 100."""
+    from quillspan.operators import linking
+    from quillspan.plans import queries_notes
+
+    v = queries_notes.vault(spark, sf)
+    linked = {r.src for r in linking.candidates(v, v, False).select("src").distinct().collect()}
+    got = {r.id for r in queries_notes.queries()["forward_notes"](spark, sf).collect()}
+    assert got == linked and any(i % 100 for i in got)
