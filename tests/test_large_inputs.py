@@ -65,3 +65,17 @@ def test_forward_notes_search_from_all_notes(spark, sf):
     linked = {r.src for r in linking.candidates(v, v, False).select("src").distinct().collect()}
     got = {r.id for r in queries_notes.queries()["forward_notes"](spark, sf).collect()}
     assert got == linked and any(i % 100 for i in got)
+
+
+def test_common_lengths_of_many_texts_at_once():
+    """title_pairs: the bound of one title with all titles of a block is that of each pair."""
+    import random
+
+    from quillspan.functions.bounds import Matcher, common_lengths
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé\U0001f680") for _ in range(n)) for n in (0, 1, 5, 40, 63, 64, 65, 90)]
+    common, m = common_lengths(texts), Matcher(0.0)
+    for y in ["", "a", *texts, "bca" * 30]:
+        m.set(y)
+        assert common(y).tolist() == [m.common(x) if len(x) <= 64 else len(x) for x in texts]
