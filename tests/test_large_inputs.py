@@ -56,6 +56,24 @@ def test_no_note_table_is_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_few_sources_search_no_other_pairs(spark, monkeypatch):
+    """link_stats, link_topk, link_preview: phrases of few notes in all bodies and of all notes in few bodies, not all in all."""
+    import random
+
+    from quillspan.operators import linking
+    from tests.test_notes_links import NOTE, some_notes
+
+    df = spark.createDataFrame(some_notes(random.Random(6), 50), NOTE)
+    few, calls, find = df.where("id % 10 = 0"), [], linking.found_phrases
+    want = linking.top(linking.candidates(few, df, False), df).collect()
+    monkeypatch.setattr(linking, "found_phrases", lambda a, b: calls.append((a.count(), b.count())) or find(a, b))
+    got = linking.top(linking.best(few, df, False), df).collect()
+    pick = lambda rs: sorted((r.src, r["rank"], r.tgt, r.score, r.reason) for r in rs)
+    assert pick(got) == pick(want) and want
+    phrases = df.select(F.explode("phrases")).count()
+    assert calls and not any(a == phrases and b == df.count() for a, b in calls)
+
+
 def test_forward_notes_search_from_all_notes(spark, sf):
     """forward_notes: every note gets its links, not only those with ids divisible by 100."""
     from quillspan.operators import linking
