@@ -74,6 +74,47 @@ def test_few_sources_search_no_other_pairs(spark, monkeypatch):
     assert calls and not any(a == phrases and b == df.count() for a, b in calls)
 
 
+def test_relink_from_heads_like_all_candidates(spark):
+    """relink_pairs: heads of the candidates, made longer where they run out, give the walk's pairs; all were written out."""
+    import random
+
+    from quillspan.operators import linking, relinking
+    from tests.test_notes_links import NOTE, some_notes
+
+    rng = random.Random(12)
+    ns = [list(n) for n in some_notes(rng, 70)]
+    for n in ns[::4]:  # equal titles, as of notes that nobody named
+        n[2] = n[3] = n[5] = "walnut"
+    df = spark.createDataFrame([tuple(n) for n in ns], NOTE)
+    want = {(r.note_a, r.note_b) for r in linking.relink(linking.candidates(df, df), df).collect()}
+    for plain, titles in ((2, 1), (24, 12)):
+        got = [(r.note_a, r.note_b) for r in relinking.relink(df, plain=plain, titles=titles).collect()]
+        assert sorted(got) == sorted(want) and want
+
+
+def test_best_ratios_of_many_texts():
+    """relink_pairs: the nearest titles without the exact ratio of all pairs."""
+    import difflib
+    import random
+
+    from quillspan.functions.bounds import best_ratios
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.choice([2, 9, 20, 70])))
+    asks, tells = list({word() for _ in range(25)}), list({word() for _ in range(120)}) + ["", "ab"]
+    for size in (2, 1000):
+        search = best_ratios(size, 0.5, block=50)
+        search.ask([*asks, ""])
+        search.tell(tells[:70])
+        search.tell(tells[70:])
+        got = search.found()
+        for x in [*asks, ""]:
+            all_ = {y: r for y in tells for r in (difflib.SequenceMatcher(None, x, y).ratio(),) if r >= 0.5}
+            least = [r for a, y, r in got if a == x and y is None]
+            assert len(least) == (1 if len(all_) > size else len(least)) and len(least) <= 1
+            assert {y: r for a, y, r in got if a == x and y is not None} == {y: r for y, r in all_.items() if r > (least or [-1])[0]}
+
+
 def test_forward_notes_search_from_all_notes(spark, sf):
     """forward_notes: every note gets its links, not only those with ids divisible by 100."""
     from quillspan.operators import linking
