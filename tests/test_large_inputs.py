@@ -88,10 +88,27 @@ def test_relink_from_heads_like_all_candidates(spark):
     df = spark.createDataFrame([tuple(n) for n in ns], NOTE)
     want = {(r.note_a, r.note_b) for r in linking.relink(linking.candidates(df, df), df).collect()}
     for plain, titles in ((2, 1), (24, 12)):
-        got = [(r.note_a, r.note_b) for r in relinking.relink(df, plain=plain, titles=titles).collect()]
+        got = [(r.note_a, r.note_b) for r in relinking.relink(df, plain=plain, near=titles).collect()]
         assert sorted(got) == sorted(want) and want
 
 
+def test_best_links_compare_no_more_titles_than_needed(spark, monkeypatch):
+    """link_topk_all: the best links come without all pairs of similar titles, also where the nearest titles can't be linked."""
+    import random
+
+    from quillspan.operators import linking, titles
+    from tests.test_notes_links import NOTE, some_notes
+
+    df = spark.createDataFrame(some_notes(random.Random(13), 60), NOTE)
+    few = df.where("id % 4 = 0")
+    want = linking.top(linking.candidates(few, df), df).collect()
+    monkeypatch.setattr(linking, "title_pairs", None)
+    monkeypatch.setattr(titles.best_pairs, "__defaults__", (2,))
+    got = linking.top(linking.best(few, df), df).collect()
+    pick = lambda rs: sorted((r.src, r["rank"], r.tgt, r.score, r.reason) for r in rs)
+    assert pick(got) == pick(want) and want
+
+
 def test_best_ratios_of_many_texts():
     """relink_pairs: the nearest titles without the exact ratio of all pairs."""
     import difflib
