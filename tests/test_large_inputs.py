@@ -132,6 +132,14 @@ def test_best_ratios_of_many_texts():
             assert {y: r for a, y, r in got if a == x and y is not None} == {y: r for y, r in all_.items() if r > (least or [-1])[0]}
 
 
+def test_link_topk_broadcasts_no_notes(spark, sf):
+    """link_topk: what goes to all tasks is no table that grows with the notes."""
+    from quillspan.plans import queries_notes
+
+    plan = queries_notes.queries()["link_topk"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_forward_notes_search_from_all_notes(spark, sf):
     """forward_notes: every note gets its links, not only those with ids divisible by 100."""
     from quillspan.operators import linking
