@@ -140,6 +140,14 @@ def test_link_topk_broadcasts_no_notes(spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_link_preview_broadcasts_no_notes(spark, sf):
+    """link_preview: the titles of the sources were joined without a hint."""
+    from quillspan.plans import queries_notes
+
+    plan = queries_notes.queries()["link_preview"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_forward_notes_search_from_all_notes(spark, sf):
     """forward_notes: every note gets its links, not only those with ids divisible by 100."""
     from quillspan.operators import linking
