@@ -140,6 +140,37 @@ def test_link_topk_broadcasts_no_notes(spark, sf):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_link_topk_sends_a_bit_set_once(spark, monkeypatch):
+    """link_topk: tasks of a stage carried the bit set of 2 MB up to nine times, each copy written by the driver."""
+    import re
+
+    from quillspan.operators import linking
+
+    rng_words = [f"w{i}" for i in range(12)]
+    long_ = " ".join(rng_words)
+    bodies = [f"see {long_} now", f"see {' '.join(rng_words[:9])} x {' '.join(rng_words[9:])}", "café w1, w2; w3-w4", "été — 北 x", ""]
+    phrases = [long_, " ".join(rng_words[1:]), "w1", "w1, w2", "w3-w4", "w2 w4", "café", "é", "北", "absent", "x w9 w10", None]
+    asked = spark.createDataFrame([(x,) for x in phrases * 2], "phrase string")
+    notes_ = spark.createDataFrame(list(enumerate(bodies)), "id int, body_lower string")
+    sizes, jvm = [], spark._jvm
+    tag = getattr(getattr(jvm.scala.reflect, "ClassTag$"), "MODULE$").Any()
+
+    def sized(f):
+        def go(df, *a):
+            rdd = df._jdf.queryExecution().toRdd()
+            sizes.append(jvm.org.apache.spark.SparkEnv.get().closureSerializer().newInstance().serialize(rdd, tag).remaining())
+            return f(df, *a)
+
+        return go
+
+    for name in ("cut", "stored"):
+        monkeypatch.setattr(linking, name, sized(getattr(linking, name)))
+    got = sized(lambda df: df)(linking.found_phrases(asked, notes_)).collect()
+    want = {(p, i) for p in phrases if p for i, b in enumerate(bodies) if re.search(rf"(^|[^a-z0-9]){re.escape(p)}([^a-z0-9]|$)", b)}
+    assert sorted((r.phrase, r.b) for r in got) == sorted(want) and len(want) > 6
+    assert len(sizes) > 3 and max(sizes) < 2 * linking.BITS // 8
+
+
 def test_link_preview_broadcasts_no_notes(spark, sf):
     """link_preview: the titles of the sources were joined without a hint."""
     from quillspan.plans import queries_notes
